@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keydrift.functions.once import built_once
 from keydrift.functions.text import let
 from keydrift.functions.tree import (
     compact_json,
@@ -94,18 +95,31 @@ def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Data
     """
     require_settings(pairs.sparkSession)
     target, source = F.col("target_json"), F.col("source_json")
-    ready = pairs.where(can_walk(target, source)).select(
-        *keep, marked(target).alias("target"), marked(source).alias("source")
+    # Gated by columns, not by a filter: a filter on the texts would be pushed below the step
+    # that builds them and build them once more for every mention.
+    checked = pairs.select(
+        *keep, "target_json", "source_json", can_walk(target, source).alias("walkable")
+    )
+    ready = checked.select(
+        *keep,
+        F.when(F.col("walkable"), marked(target)).alias("target"),
+        F.when(F.col("walkable"), marked(source)).alias("source"),
+    )
+    nodes = built_once(
+        "missing_nodes", lambda: missing_nodes(F.col("target"), F.col("source"))
     )
     walked = ready.select(
-        *keep, missing_nodes(F.col("target"), F.col("source")).alias("missing")
+        *keep, F.when(F.col("target").isNotNull(), nodes).alias("missing")
     )
+    # The outer form, because Spark evaluates the walk again to skip empty arrays otherwise.
     return walked.select(*keep, F.posexplode_outer("missing").alias("seq", "node")).where("seq IS NOT NULL").select(
         *keep,
         "seq",
         F.col("node.ordinal").alias("ordinal"),
         F.col("node.path").alias("path"),
-        compact_json(F.col("node.source")).alias("value_json"),
+        built_once("compact source", lambda: compact_json(F.col("node.source"))).alias(
+            "value_json"
+        ),
     )
 
 

@@ -11,8 +11,11 @@ def numbered_lines(
     documents: DataFrame, text: str = "merged_json", keep: tuple[str, ...] = ("pair_id",)
 ) -> DataFrame:
     """One row per line: ``keep…, line_no, line`` (from 1)."""
-    split = documents.select(*keep, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    return split.select(*keep, (F.col("pos") + 1).alias("line_no"), "line")
+    # Outer forms here and below: the plain ones add a filter that builds the text once more.
+    split = documents.select(
+        *keep, F.posexplode_outer(F.split(text, "\n")).alias("pos", "line")
+    )
+    return split.where("pos IS NOT NULL").select(*keep, (F.col("pos") + 1).alias("line_no"), "line")
 
 
 def first_matching_lines(lines: DataFrame, paths: DataFrame, key: str = "pair_id") -> DataFrame:
@@ -52,6 +55,7 @@ def highlighted_lines(located: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def exact_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Exact line of each imported path, known from printing: ``keep…, path, line_no``."""
-    return merged.select(*keep, F.explode("import_lines").alias("hit")).select(
+    hits = merged.select(*keep, F.explode_outer("import_lines").alias("hit"))
+    return hits.where("hit IS NOT NULL").select(
         *keep, F.col("hit.path").alias("path"), F.col("hit.line_no").alias("line_no")
     )

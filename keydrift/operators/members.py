@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keydrift.functions.once import built_once
 from keydrift.functions.tree import (
     compact_json,
     is_object,
@@ -68,7 +69,9 @@ def source_members(
         F.col("node.ordinal").alias("ordinal"),
         F.col("node.path").alias("path"),
         kind_of(F.col("node.value")).alias("kind"),
-        compact_json(F.col("node.value")).alias("value_json"),
+        built_once("compact value", lambda: compact_json(F.col("node.value"))).alias(
+            "value_json"
+        ),
     )
 
 

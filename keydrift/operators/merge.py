@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from keydrift.functions.once import built_once
 from keydrift.functions.tree import marked, rendered_lines
 from keydrift.operators.validate import can_walk
 from keydrift.plans.session import require_settings
@@ -47,8 +48,11 @@ def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> Data
         F.when(F.col("walkable"), marked(target)).alias("target"),
         F.when(F.col("walkable"), marked(source)).alias("source"),
     )
-    lines = rendered_lines(
-        F.col("target"), F.col("source"), F.col(picked) if picked else None
+    lines = built_once(
+        f"rendered_lines {picked}",
+        lambda: rendered_lines(
+            F.col("target"), F.col("source"), F.col(picked) if picked else None
+        ),
     )
     printed = ready.select(
         *keep, "target_json", F.when(F.col("target").isNotNull(), lines).alias("lines")

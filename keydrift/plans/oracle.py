@@ -56,15 +56,15 @@ merged AS (
 
 # Line of each imported key in that text.
 EXACT = """exact AS (
-  SELECT k AS pair_id, unnest(list_filter([
+  SELECT * FROM (SELECT k AS pair_id, unnest([
     {'path': ['cust', 'id'], 'line_no': 4, 'hit': cust_was_5},
     {'path': ['cust', 'tier'], 'line_no': 5, 'hit': cust_gets},
     {'path': ['status'], 'line_no': 7, 'hit': no_status},
     {'path': ['db'], 'line_no': 8, 'hit': no_db},
     {'path': ['db', 'pool', 'min'], 'line_no': 10, 'hit': NOT no_db},
     {'path': ['db', 'pool', 'max'], 'line_no': 11, 'hit': NOT no_db},
-    {'path': ['flags'], 'line_no': 14, 'hit': no_flags}], x -> x.hit)) AS found,
-    CAST(extra_first AS INT) AS shift FROM merged)"""
+    {'path': ['flags'], 'line_no': 14, 'hit': no_flags}]) AS found,
+    CAST(extra_first AS INT) AS shift FROM merged) WHERE found.hit)"""
 
 FIRST = f"""numbered AS (
   SELECT k AS pair_id, unnest(string_split(merged_json, chr(10))) AS line,
@@ -134,13 +134,12 @@ ORACLE = {
         array_to_string(list_sort(list_distinct(list(line_no))), ',') AS line_nos
         FROM located GROUP BY pair_id""",
     "history_rows": f"""{DIFF} SELECT pair_id, TIMESTAMP '2024-05-01 00:00:00' AS ts, seq AS batch_seq,
-          {PATH}, value_json, 'all' AS type, 'Bulk' AS label FROM missing
-        UNION ALL SELECT pair_id, TIMESTAMP '2024-05-01 01:00:00', seq, {PATH}, value_json, 'single',
-          'Single' FROM missing WHERE seq = 0""",
+          {PATH}, value_json, 'all' AS type, 'Bulk' AS label FROM missing""",
+    "history_single": f"""{DIFF} SELECT pair_id, TIMESTAMP '2024-05-01 00:00:00' AS ts, seq AS batch_seq,
+          {PATH}, value_json, 'single' AS type, 'Single' AS label FROM missing WHERE seq = 0""",
     "history_cleared": f"""{DIFF}, kept AS (SELECT seq FROM missing JOIN orders ON o_orderkey = pair_id
           WHERE o_orderstatus <> 'F')
-        SELECT 'all' AS type, count(*) AS n_rows FROM kept
-        UNION ALL SELECT 'single', count(*) FROM kept WHERE seq = 0""",
+        SELECT 'all' AS type, count(*) AS n_rows FROM kept""",
     "text_validity": f"""WITH texts AS (
           SELECT 'event' AS origin, event_id AS id, {_EVENT_TEXT} AS text FROM events
           UNION ALL SELECT 'document', doc_id, text FROM documents

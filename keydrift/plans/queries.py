@@ -115,21 +115,25 @@ def lines_highlighted(spark, folder) -> DataFrame:
     )
 
 
-def _history(spark, folder) -> DataFrame:
-    found = missing_keys(w.config_pairs(spark, folder))
+def _history(spark, folder, kind=history.ALL, condition="true") -> DataFrame:
+    found = missing_keys(w.config_pairs(spark, folder)).where(condition)
     at = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
-    every = history.history_rows(found, history.ALL, at)
-    one = history.history_rows(
-        found.where("seq = 0"), history.SINGLE, at + F.expr("INTERVAL 1 HOUR")
-    )
-    return every.unionByName(one)
+    return history.history_rows(found, kind, at)
 
 
-def history_rows(spark, folder) -> DataFrame:
-    shown = history.newest_history_first(history.with_label(_history(spark, folder)))
+def _shown_history(rows) -> DataFrame:
+    shown = history.newest_history_first(history.with_label(rows))
     return shown.select("pair_id", "ts", big("batch_seq"), shown_path(), "value_json", "type", "label")
 
 
+def history_rows(spark, folder) -> DataFrame:
+    return _shown_history(_history(spark, folder))
+
+
+def history_single(spark, folder) -> DataFrame:
+    return _shown_history(_history(spark, folder, history.SINGLE, "seq = 0"))
+
+
 def history_cleared(spark, folder) -> DataFrame:
     cleared = w.table(spark, folder, "orders").where("o_orderstatus = 'F'")
     kept = history.without_pairs(
@@ -252,7 +256,7 @@ QUERIES = {
         diff_missing_keys, diff_counts, diff_same_document, diff_source_members,
         diff_target_paths, diff_by_join, diff_against_baselines, merge_import_all,
         merge_import_selected, merge_leaves_nothing, lines_numbered, lines_exact,
-        lines_first_match, lines_highlighted, history_rows, history_cleared, text_validity,
+        lines_first_match, lines_highlighted, history_rows, history_single, history_cleared, text_validity,
         pair_status, catalog_newest_first, catalog_search_listed, catalog_search_everything,
         catalog_search_literal, catalog_search_notes, catalog_facet_values, catalog_row_counts,
         changes_checked, changes_insert_defaults, changes_violations, changes_applied,
