@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from keydrift.functions.text import trimmed
+from keydrift.functions.once import built_once
+from keydrift.functions.text import let, trimmed
 
 
 def numbered_lines(
@@ -59,3 +60,76 @@ def exact_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Data
     return hits.where("hit IS NOT NULL").select(
         *keep, F.col("hit.path").alias("path"), F.col("hit.line_no").alias("line_no")
     )
+
+
+def located_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """:func:`first_matching_lines` for imported paths, inside each row: no line leaves it.
+
+    ``merged`` comes from an import; the result has ``keep…, located`` with one
+    ``struct<path, line_no>`` per matched path.
+    """
+    located = built_once("located_lines", _located)
+    return merged.select(*keep, located.alias("located"))
+
+
+def highlights(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """Distinct matched line numbers of each import, ascending: ``keep…, line_nos``."""
+    numbers = F.transform("located", lambda hit: hit["line_no"])
+    return located_lines(merged, keep).select(
+        *keep, F.array_sort(F.array_distinct(numbers)).alias("line_nos")
+    )
+
+
+def _located() -> Column:
+    shown = F.transform(
+        F.split("merged_json", "\n"),
+        lambda line, position: F.struct(
+            trimmed(line).alias("text"), (position + 1).alias("line_no")
+        ),
+    )
+    return let(
+        F.filter(shown, lambda line: F.startswith(line["text"], F.lit('"'))), _match_paths
+    )
+
+
+def _match_paths(shown: Column) -> Column:
+    """Keep the first line of every head, then give each path the line of its key."""
+    backwards = F.reverse(
+        F.transform(
+            shown,
+            lambda line: F.struct(
+                F.regexp_extract(line["text"], '^"([^"]*+)"', 1).alias("head"),
+                line["line_no"].alias("line_no"),
+            ),
+        )
+    )
+    keys = F.array_distinct(
+        F.transform("import_lines", lambda hit: F.element_at(hit["path"], -1))
+    )
+    wanted = F.map_zip_with(
+        F.map_from_arrays(keys, keys),
+        F.map_from_entries(backwards),
+        lambda _, key, line_no: F.when(key.isNotNull(), line_no),
+    )
+    found = F.map_filter(wanted, lambda _, line_no: line_no.isNotNull())
+
+    def line_of(lines_by_key: Column, key: Column) -> Column:
+        prefix = F.concat(F.lit('"'), key, F.lit('"'))
+        matching = F.filter(shown, lambda line: F.startswith(line["text"], prefix))
+        return F.when(
+            F.contains(key, F.lit('"')), F.get(matching, F.lit(0))["line_no"]
+        ).otherwise(lines_by_key[key])
+
+    return let(
+        found,
+        lambda lines_by_key: F.filter(
+            F.transform(
+                F.col("import_lines"),
+                lambda hit: F.struct(
+                    hit["path"].alias("path"),
+                    line_of(lines_by_key, F.element_at(hit["path"], -1)).alias("line_no"),
+                ),
+            ),
+            lambda hit: hit["line_no"].isNotNull(),
+        ),
+    )

@@ -19,18 +19,18 @@ def find_profiles(
     ``role`` falls back to ``support`` and a NULL email becomes empty.
     """
     profiles = users.groupBy("id").agg(
-        F.count("*").alias("n"),
-        F.min("email").alias("profile_email"),
-        F.min("role").alias("profile_role"),
+        F.count("*").alias("_n"),
+        F.min("email").alias("_email"),
+        F.min("role").alias("_role"),
     )
     found = look_up(keys, profiles, "id", max_rows=broadcast_rows)
-    unique = F.col("n") == 1
-    status = F.when(F.col("n").isNull(), "absent").when(unique, "ok").otherwise("duplicate")
+    unique = F.col("_n") == 1
+    status = F.when(F.col("_n").isNull(), "absent").when(unique, "ok").otherwise("duplicate")
     return found.select(
         *keys.columns,
         status.alias("status"),
-        F.coalesce(F.when(unique, F.col("profile_email")), F.lit("")).alias("profile_email"),
-        F.coalesce(F.when(unique, F.col("profile_role")), F.lit(SUPPORT)).alias("role"),
+        F.coalesce(F.when(unique, F.col("_email")), F.lit("")).alias("profile_email"),
+        F.coalesce(F.when(unique, F.col("_role")), F.lit(SUPPORT)).alias("role"),
     )
 
 
@@ -61,8 +61,7 @@ def gate(
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """Split requests by the actor's role: deployers are allowed, everyone else is denied."""
-    keys = requests.withColumnRenamed(actor, "id")
-    known = find_profiles(keys, users, broadcast_rows).withColumnRenamed("id", actor)
+    keys = requests.select(F.col(actor).alias("id"), F.struct("*").alias("request"))
+    known = find_profiles(keys, users, broadcast_rows)
     allowed = F.col("role") == DEPLOYER
-    columns = requests.columns
-    return known.where(allowed).select(*columns), known.where(~allowed).select(*columns)
+    return known.where(allowed).select("request.*"), known.where(~allowed).select("request.*")

@@ -90,26 +90,23 @@ def lines_numbered(spark, folder) -> DataFrame:
     return found.select("doc_id", big("line_no"), "line")
 
 
-def _merged_lines(spark, folder):
-    merged = import_all(w.config_pairs(spark, folder))
-    return lines.numbered_lines(merged), lines.exact_lines(merged)
-
-
 def lines_exact(spark, folder) -> DataFrame:
-    _, exact = _merged_lines(spark, folder)
+    exact = lines.exact_lines(import_all(w.config_pairs(spark, folder)))
     return exact.select("pair_id", shown_path(), big("line_no"))
 
 
 def lines_first_match(spark, folder) -> DataFrame:
-    numbered, exact = _merged_lines(spark, folder)
-    found = lines.first_matching_lines(numbered, exact.select("pair_id", "path"))
-    return found.select("pair_id", shown_path(), big("line_no"))
+    located = lines.located_lines(import_all(w.config_pairs(spark, folder)))
+    found = located.select("pair_id", F.explode_outer("located").alias("hit"))
+    return found.where("hit IS NOT NULL").select(
+        "pair_id",
+        display_path(F.col("hit.path")).alias("path"),
+        F.col("hit.line_no").cast("bigint").alias("line_no"),
+    )
 
 
 def lines_highlighted(spark, folder) -> DataFrame:
-    numbered, exact = _merged_lines(spark, folder)
-    found = lines.first_matching_lines(numbered, exact.select("pair_id", "path"))
-    marked = lines.highlighted_lines(found)
+    marked = lines.highlights(import_all(w.config_pairs(spark, folder)))
     return marked.select(
         "pair_id", F.array_join(F.col("line_nos").cast("array<string>"), ",").alias("line_nos")
     )
