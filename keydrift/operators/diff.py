@@ -87,12 +87,8 @@ def _missing_or_open(node: Column) -> Column:
     )
 
 
-def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """``pairs`` → one row per missing key: ``keep…, seq, ordinal, path, value_json``.
-
-    Narrow: works on batches and streams, needs no shuffle and no unique key. ``seq`` is the
-    row's place within its pair.
-    """
+def _walked(pairs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep…, missing``: the missing nodes of each pair, NULL where it cannot be compared."""
     require_settings(pairs.sparkSession)
     target, source = F.col("target_json"), F.col("source_json")
     # Gated by columns, not by a filter: a filter on the texts would be pushed below the step
@@ -108,22 +104,30 @@ def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Data
     nodes = built_once(
         "missing_nodes", lambda: missing_nodes(F.col("target"), F.col("source"))
     )
-    walked = ready.select(
-        *keep, F.when(F.col("target").isNotNull(), nodes).alias("missing")
-    )
+    return ready.select(*keep, F.when(F.col("target").isNotNull(), nodes).alias("missing"))
+
+
+def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """``pairs`` → one row per missing key: ``keep…, seq, ordinal, path, value_json``.
+
+    Narrow: works on batches and streams, needs no shuffle and no unique key. ``seq`` is the
+    row's place within its pair.
+    """
     # The outer form, because Spark evaluates the walk again to skip empty arrays otherwise.
-    return walked.select(*keep, F.posexplode_outer("missing").alias("seq", "node")).where("seq IS NOT NULL").select(
+    nodes = _walked(pairs, keep).select(
+        *keep, F.posexplode_outer("missing").alias("seq", "node")
+    )
+    value = built_once("compact source", lambda: compact_json(F.col("node.source")))
+    return nodes.where("seq IS NOT NULL").select(
         *keep,
         "seq",
         F.col("node.ordinal").alias("ordinal"),
         F.col("node.path").alias("path"),
-        built_once("compact source", lambda: compact_json(F.col("node.source"))).alias(
-            "value_json"
-        ),
+        value.alias("value_json"),
     )
 
 
-def missing_counts(pairs: DataFrame, missing: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Number of missing keys per pair, zero included: ``key, n_missing``."""
-    counted = missing.groupBy(key).agg(F.count("*").alias("n_missing"))
-    return pairs.select(key).join(counted, key, "left").na.fill(0, ["n_missing"])
+def missing_counts(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """Number of missing keys per pair, zero included: ``keep…, n_missing``. Narrow as well."""
+    found = F.when(F.col("missing").isNotNull(), F.size("missing")).otherwise(0)
+    return _walked(pairs, keep).select(*keep, found.cast("bigint").alias("n_missing"))

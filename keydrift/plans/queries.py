@@ -31,14 +31,13 @@ def diff_missing_keys(spark, folder) -> DataFrame:
 
 
 def diff_counts(spark, folder) -> DataFrame:
-    pairs = w.config_pairs(spark, folder)
-    return missing_counts(pairs, missing_keys(pairs))
+    return missing_counts(w.config_pairs(spark, folder))
 
 
 def diff_same_document(spark, folder) -> DataFrame:
     pairs = w.config_pairs(spark, folder)
     same = pairs.selectExpr("pair_id", "source_json AS target_json", "source_json")
-    return missing_counts(same, missing_keys(same))
+    return missing_counts(same)
 
 
 def diff_source_members(spark, folder) -> DataFrame:
@@ -81,7 +80,7 @@ def merge_leaves_nothing(spark, folder) -> DataFrame:
     merged = import_all(pairs, keep=("pair_id", "source_json")).selectExpr(
         "pair_id", "merged_json AS target_json", "source_json"
     )
-    return missing_counts(pairs, missing_keys(merged))
+    return missing_counts(merged)
 
 
 def lines_numbered(spark, folder) -> DataFrame:

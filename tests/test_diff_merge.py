@@ -63,7 +63,7 @@ def test_same_document_has_no_rows(pairs):
 def test_counts_include_zero(pairs):
     counts = {
         r.pair_id: r.n_missing
-        for r in missing_counts(pairs, missing_keys(pairs)).collect()
+        for r in missing_counts(pairs).collect()
     }
     assert counts == {name: len(rows) for name, (_, _, rows, _) in GOLDEN.items()}
 
