@@ -81,17 +81,20 @@ def target_paths(
     """Paths present in a document, the root (empty path) included: ``keep…, path``."""
     root = F.array(F.array().cast("array<string>"))
     paths = F.concat(root, F.transform("members", lambda n: n["path"]))
-    return _walked(documents, text, keep).select(*keep, F.explode_outer(paths).alias("path"))
+    present = _walked(documents, text, keep).select(*keep, F.explode_outer(paths).alias("path"))
+    return present.where("path IS NOT NULL")
 
 
 def _walked(documents: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     require_settings(documents.sparkSession)
-    opened = documents.where(is_valid_json(F.col(text))).select(
-        *keep, marked(F.col(text)).alias("document")
+    checked = documents.select(*keep, text, is_valid_json(F.col(text)).alias("valid"))
+    opened = checked.select(
+        *keep, F.when(F.col("valid"), marked(F.col(text))).alias("document")
     )
-    empty = F.array().cast(_NODES)
-    walked = F.when(is_object(F.col("document")), _all_members(F.col("document")))
-    return opened.select(*keep, F.coalesce(walked, empty).alias("members"))
+    walked = F.when(is_object(F.col("document")), _all_members(F.col("document"))).when(
+        F.col("document").isNotNull(), F.array().cast(_NODES)
+    )
+    return opened.select(*keep, walked.alias("members"))
 
 
 def missing_members(

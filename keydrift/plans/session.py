@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Fixed values. A repeated JSON key keeps its first position and takes its last value,
-# timestamps are read as UTC, and timestamp folders stay readable as written.
+# Fixed values. A repeated JSON key keeps its first position and takes its last value, and
+# timestamps are read as UTC.
 REQUIRED_SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
