@@ -17,8 +17,13 @@ from pyspark.sql import functions as F
 
 from keydrift.llm.common import if_small, saved, shared_folder
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+#: State on disk; a commit uploads changes only, and files take no space before they are written.
+ON_DISK = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -125,12 +130,14 @@ def _split(rows: DataFrame, differs: DataFrame) -> DataFrame:
 
 @contextmanager
 def _on_disk(spark: SparkSession):
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in ON_DISK}
+    for key, value in ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
