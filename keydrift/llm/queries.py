@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keydrift.llm.exact_dedup import exact_duplicates
+from keydrift.llm.fingerprints import fingerprinted
+from keydrift.llm.license_scan import licensed
 from keydrift.llm.near_dedup import near_duplicates
+from keydrift.llm.sharding import sharded
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +21,27 @@ def op2_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op4_license_join(spark: SparkSession, folder: str) -> DataFrame:
+    return licensed(table(spark, folder, "documents"))
+
+
+def op6_bounded_ring(spark: SparkSession, folder: str) -> DataFrame:
+    return sharded(table(spark, folder, "documents"))
+
+
+def op7_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprinted(table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lsh_forest": op2_lsh_forest,
+    "op4_license_join": op4_license_join,
+    "op6_bounded_ring": op6_bounded_ring,
+    "op7_multiset_hash": op7_multiset_hash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
