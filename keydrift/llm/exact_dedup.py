@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from keydrift.llm.common import if_small, saved, shared_folder
 
 STATE = "spark.sql.streaming.stateStore"
-#: State on disk; a commit uploads changes only, and files take no space before they are written.
+#: State on disk, with a bound on its memory in an executor; files take no space before they are written.
 ON_DISK = {
     f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{STATE}.rocksdb.allowFAllocate": "false",
+    f"{STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STATE}.rocksdb.maxMemoryUsageMB": "256",
 }
 
 
