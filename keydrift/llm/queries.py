@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keydrift.llm.exact_dedup import exact_duplicates
 from keydrift.llm.fingerprints import fingerprinted
+from keydrift.llm.language_id import languages
 from keydrift.llm.license_scan import licensed
 from keydrift.llm.near_dedup import near_duplicates
 from keydrift.llm.sharding import sharded
@@ -21,6 +22,10 @@ def op2_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
 def op4_license_join(spark: SparkSession, folder: str) -> DataFrame:
     return licensed(table(spark, folder, "documents"))
 
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lsh_forest": op2_lsh_forest,
+    "op3_byte_network": op3_byte_network,
     "op4_license_join": op4_license_join,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_multiset_hash": op7_multiset_hash,
