@@ -12,6 +12,7 @@ from keydrift.llm.language_id import languages
 from keydrift.llm.license_scan import licensed
 from keydrift.llm.near_dedup import near_duplicates
 from keydrift.llm.sharding import sharded
+from keydrift.llm.toxicity import toxic_documents
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +39,10 @@ def op7_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprinted(table(spark, folder, "documents"))
 
 
+def op9_lexicon_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return toxic_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_join": op4_license_join,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_multiset_hash": op7_multiset_hash,
+    "op9_lexicon_automata": op9_lexicon_automata,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
