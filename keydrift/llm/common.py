@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,3 +109,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
 def numbers(n: int, seed: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit values."""
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+def kept_by_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that lives as long as the Python worker, so that later tasks in it find it again."""
+    store = sys.modules.setdefault("keydrift_worker", types.ModuleType("keydrift_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]

@@ -5,16 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keydrift.llm.exact_dedup import exact_duplicates
 from keydrift.llm.fingerprints import fingerprinted
 from keydrift.llm.language_id import languages
 from keydrift.llm.license_scan import licensed
 from keydrift.llm.near_dedup import near_duplicates
+from keydrift.llm.packing import packed
 from keydrift.llm.sharding import sharded
 from keydrift.llm.toxicity import toxic_documents
 
 
+#: Where public_tokenizers.py and its vocabularies are; executors have them in the same place.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def tokenizer(name: str, folder: str = TOKENIZERS) -> str:
+    """The path of a public vocabulary."""
+    return f"{folder}/{name}"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,6 +42,11 @@ def op4_license_join(spark: SparkSession, folder: str) -> DataFrame:
     return licensed(table(spark, folder, "documents"))
 
 
+def op5_cost_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packed(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op6_bounded_ring(spark: SparkSession, folder: str) -> DataFrame:
     return sharded(table(spark, folder, "documents"))
 
@@ -51,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lsh_forest": op2_lsh_forest,
     "op3_byte_network": op3_byte_network,
     "op4_license_join": op4_license_join,
+    "op5_cost_balanced": op5_cost_balanced,
     "op6_bounded_ring": op6_bounded_ring,
     "op7_multiset_hash": op7_multiset_hash,
     "op9_lexicon_automata": op9_lexicon_automata,
