@@ -27,10 +27,9 @@ def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> DataFrame:
     nodes = nodes.groupBy("place").agg(F.min("shard").alias("shard"))
     at = spark.range(PLACES).select(F.col("id").alias("place")).join(nodes, "place", "left")
     node = F.when(F.col("shard").isNotNull(), F.struct(F.col("place").alias("arc"), "shard"))
-    ahead = Window.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    next_node = F.coalesce(
-        F.first(node, ignorenulls=True).over(ahead), F.min(node).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    )
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ahead = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
+    next_node = F.coalesce(F.last(node, ignorenulls=True).over(ahead), F.min(node).over(every))
     return at.select("place", next_node.alias("node")).select("place", "node.arc", "node.shard")
 
 
