@@ -13,6 +13,7 @@ from keydrift.llm.language_id import languages
 from keydrift.llm.license_scan import licensed
 from keydrift.llm.near_dedup import near_duplicates
 from keydrift.llm.packing import packed
+from keydrift.llm.sentencepiece_codec import decoded, encoded
 from keydrift.llm.sharding import sharded
 from keydrift.llm.toxicity import toxic_documents
 
@@ -30,6 +31,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document and the digest of the text that they decode to."""
+    model = tokenizer("piece_bpe_32k.model")
+    rows = decoded(encoded(table(spark, folder, "documents"), model), model)
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -64,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_lsh_forest": op2_lsh_forest,
     "op3_byte_network": op3_byte_network,
     "op4_license_join": op4_license_join,
