@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keydrift.llm.common import if_small, saved
-from keydrift.llm.exact_dedup import exact_duplicates
+from keydrift.llm.exact_dedup import exact_duplicates, normalised, sha256
+from keydrift.llm.language_id import UNKNOWN, languages
 from keydrift.llm.near_dedup import near_duplicates
+from keydrift.llm.packing import packed
+from keydrift.llm.queries import tokenizer
+from keydrift.llm.toxicity import toxic_documents
 
 #: SQL expresses neither the trained stages nor the tokens.
 ORACLE_SQL = None
+#: A document whose language is less probable than this is rejected like one without a letter.
+SURE = 0.35
 
 Stage = Callable[[SparkSession, DataFrame | None, str], DataFrame]
 
@@ -21,22 +27,58 @@ def _documents(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Data
     return spark.read.parquet(f"{sf_dir}/documents.parquet") if docs is None else docs
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id was not rejected."""
-    return docs.join(if_small(saved(rejected.select("doc_id"), "rejected")), "doc_id", "left_anti").select(docs.columns)
+def _without(docs: DataFrame, rejected: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that no rejected row has the keys of; a null matches nothing, so rows without doc_id stay."""
+    return docs.join(if_small(saved(rejected.select(keys).distinct(), "rejected")), keys, "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; it is learned from the documents' own labels."""
+    docs = _documents(spark, docs, sf_dir)
+    unclear = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < SURE)
+    return _without(docs, languages(docs).where(unclear), ["doc_id"]).select(docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    docs = _documents(spark, docs, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, toxic_documents(docs, labels).where("predicted = 1"), ["doc_id"]).select(docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    """One document of each text. Rows that repeat both doc_id and text become one."""
     docs = _documents(spark, docs, sf_dir)
-    return _without(docs, exact_duplicates(docs).where("not kept"))
+    named = docs.withColumn("text_sha256", sha256(normalised(F.col("text"))))
+    rows = saved(exact_duplicates(docs).where("not kept").select("doc_id", "keep_id", "text_sha256"), "not-kept")
+    again = rows.where("doc_id <=> keep_id")
+    kept = _without(named, rows.where("not doc_id <=> keep_id"), ["doc_id", "text_sha256"])
+    if not again.isEmpty():
+        repeated = again.select("doc_id", "text_sha256").distinct()
+        single = _without(kept, repeated, ["doc_id", "text_sha256"])
+        first = kept.join(repeated, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+        kept = single.unionByName(first)
+    return kept.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     docs = _documents(spark, docs, sf_dir)
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    return _without(docs, near_duplicates(docs).where("not kept"), ["doc_id"]).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
+    """Training sequences: the pieces of all documents with their ids."""
+    return packed(_documents(spark, docs, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
