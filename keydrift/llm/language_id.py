@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, slices, utf8
+from keydrift.llm.common import crc_fold, hashed_sample, slices, utf8
 
 #: Bytes of a window, widths of filters, filters of each width; languages that can't be told.
 WINDOW, WIDTHS, FILTERS, UNKNOWN = 256, (2, 3, 4), 16, "und"
@@ -137,10 +137,9 @@ def learn(docs: DataFrame, rows: int = SAMPLE) -> Network | None:
     The window's place in its text is chosen by hash as well. None where nothing is labelled.
     """
     known = docs.where(F.col("lang").isNotNull() & has_letter(F.col("text")) & (crc_fold(F.col("doc_id")) != 2))
-    pick = F.xxhash64("doc_id", "text")
-    place = F.pmod(pick, F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1) + 1
     window = F.substring("text", place.cast("int"), F.lit(WINDOW)).alias("window")
-    sample = known.select(window, "lang", pick.alias("pick")).orderBy("pick", "lang", "window").limit(rows).collect()
+    sample = hashed_sample(known.select("doc_id", "lang", window), rows, "doc_id", "lang", "window").collect()
     return trained([r.window for r in sample], [r.lang for r in sample]) if sample else None
 
 

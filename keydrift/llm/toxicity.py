@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, if_small, saved, slices
+from keydrift.llm.common import crc_fold, hashed_sample, if_small, saved, slices
 
 #: Labelled documents of each class that the lexicon and the weights are learned from at most, chosen by hash.
 SAMPLE = 3000
@@ -207,8 +207,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = saved(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    order = F.xxhash64("doc_id")
-    picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(SAMPLE) for c in (0, 1)]
+    picked = [hashed_sample(known.where(F.col("toxic") == c), SAMPLE, "doc_id") for c in (0, 1)]
     picked = saved(picked[0].union(picked[1]), "picked-labels")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(if_small(picked), "doc_id")
     return saved(texts.select("doc_id", "text", "toxic"), "labelled"), counts
