@@ -25,8 +25,8 @@ from keydrift.llm.common import kept_by_worker, slices
 LENGTH, END, WINDOW = 4096, 2, 1 << 20
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
-#: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers (some 200 bytes each), and bytes of text whose new words are encoded together.
+REMEMBERED, TOGETHER = 800_000, 8_000_000
 
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: The tokenizer's own split, for texts in which lower case and composition are those of Latin letters.
@@ -158,7 +158,7 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDO
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TOGETHER):
                 texts = part.column("text").fill_null("").to_pylist()
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens(texts), strict=True):
                     held.append((doc_id, len(ids) // 4 + 1, 0, ids + last))
