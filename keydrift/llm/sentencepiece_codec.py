@@ -20,7 +20,9 @@ from keydrift.llm.common import kept_by_worker, slices
 
 SPACE = "▁"
 #: Segments whose ids, and pairs whose verdicts, a worker remembers; longer segments are searched each time.
-REMEMBERED, LONG = 150_000, 48
+REMEMBERED, LONG = 400_000, 48
+#: Before the first piece; a character in no piece, which joins nothing.
+NOTHING, UNKNOWN = -1, -2
 #: A run of spaces and what follows up to the next space: no piece goes beyond its end.
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 
@@ -38,10 +40,17 @@ class Codec:
         self.score = {model.id_to_piece(i): model.get_score(i) for i in usual}
         self.text = {i: model.id_to_piece(i) for i in usual}
         self.bytes = {int(model.id_to_piece(i)[1:-1], 16): i for i in every if model.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
+        texts = [model.id_to_piece(i).replace(SPACE, " ").encode() if i in self.text else b"" for i in every]
+        for byte, i in self.bytes.items():
+            texts[i] = bytes([byte])
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(texts), np.uint8)
         self.parts: dict[str, tuple[str, str] | None] = {}
-        self.verdicts: dict[tuple[str, str], bool] = {}
+        self.verdicts: dict[int, bool] = {}
+        #: Pieces that joins do make; the others are never found in a text.
+        self.made = {p: i for p, i in self.ids.items() if len(p) == 1 or self.split(p) is not None}
         self.known: dict[str, bytes] = {}  # ids of segments; when full, it becomes the older generation
         self.older: dict[str, bytes] = {}
 
@@ -80,60 +89,61 @@ class Codec:
             else:
                 right_goes, right = score[right], b[0]
 
-    def allowed(self, before: str, piece: str) -> bool:
-        """Whether merging `before` + `piece` gives these two pieces; with nothing before, whether it gives the piece."""
-        if len(piece) > 1 and self.split(piece) is None:
-            return False
-        if not before:
-            return True
-        key = (before, piece)
+    def allowed(self, before: int, piece: int) -> bool:
+        """Whether merging the texts of two pieces one after the other gives these two pieces."""
+        key = before << 32 | piece
         verdict = self.verdicts.get(key)
         if verdict is None:
             if len(self.verdicts) >= REMEMBERED:
                 self.verdicts.clear()
-            verdict = self.verdicts[key] = self._apart(before, piece)
+            verdict = self.verdicts[key] = self._apart(self.text[before], self.text[piece])
         return verdict
 
-    def _id(self, piece: str) -> tuple[int, ...]:
-        return (self.ids[piece],) if piece in self.ids else tuple(self.bytes[b] for b in piece.encode("utf-8", "replace"))
-
-    def search(self, text: str) -> Iterator[str]:
-        """The pieces of a text without its dummy prefix, committed from left to right."""
-        scores, longest, allowed = self.score, self.longest, self.allowed
-        base, done = 0, 0  # the place that index 0 of the list stands for; the committed boundary
-        pieces: list[str | None] = [""]  # the piece that ends at each place
+    def search(self, text: str) -> Iterator[list[int]]:
+        """The ids of a text without its dummy prefix, committed from left to right."""
+        made, longest, verdicts = self.made, self.longest, self.verdicts
+        base, done = 0, 0  # the place that index 0 of the lists stands for; the committed boundary
+        ids: list[int] = [NOTHING]  # the piece that ends at each place: NOTHING, or UNKNOWN for one character
+        back: list[int] = [0]  # where it begins
         n = len(text)
         for end in range(1, n + 1):
-            found = None
-            for begin in range(max(done, end - longest), end):
-                piece = text[begin:end]
-                if piece in scores or end - begin == 1:
-                    before = pieces[begin - base]
-                    # An unknown character joins nothing.
-                    if before is not None and allowed(before if before in scores else "", piece):
-                        found = piece
+            found, begin = UNKNOWN, end - 1
+            for start in range(max(done, end - longest), end):
+                piece = made.get(text[start:end])
+                if piece is not None:
+                    before = ids[start - base]
+                    if before < 0:
+                        found, begin = piece, start
+                        break
+                    verdict = verdicts.get(before << 32 | piece)
+                    if verdict or (verdict is None and self.allowed(before, piece)):
+                        found, begin = piece, start
                         break
-            pieces.append(found)
+            ids.append(found)
+            back.append(begin)
             if end - done >= 2 * longest:
                 # The last places are all that later pieces can follow: where do their paths meet?
-                places = {p for p in range(end - longest + 1, end + 1) if pieces[p - base] is not None}
+                places = set(range(end - longest + 1, end + 1))
                 while len(places) > 1:
                     top = max(places)
                     places.remove(top)
-                    places.add(max(done, top - len(pieces[top - base])))
+                    places.add(max(done, back[top - base]))
                 meet = places.pop()
                 if meet > done:
-                    yield from self._path(pieces, base, done, meet)
-                    del pieces[: meet - base]
+                    yield self._path(text, ids, back, base, done, meet)
+                    del ids[: meet - base], back[: meet - base]
                     base, done = meet, meet
-        yield from self._path(pieces, base, done, n)
+        yield self._path(text, ids, back, base, done, n)
 
-    @staticmethod
-    def _path(pieces: list[str], base: int, done: int, end: int) -> list[str]:
-        path = []
+    def _path(self, text: str, ids: list[int], back: list[int], base: int, done: int, end: int) -> list[int]:
+        path: list[int] = []
         while end > done:
-            path.append(pieces[end - base])
-            end -= len(path[-1])
+            begin = back[end - base]
+            if ids[end - base] >= 0:
+                path.append(ids[end - base])
+            else:
+                path += [self.bytes[b] for b in reversed(text[begin:end].encode("utf-8", "replace"))]
+            end = begin
         return path[::-1]
 
     def encode(self, text: str) -> bytes:
@@ -148,21 +158,18 @@ class Codec:
             if ids is None:
                 ids = self.older.get(segment)
                 if ids is None:
-                    ids = np.array([i for p in self.search(segment) for i in self._id(p)], "<i4").tobytes()
+                    ids = np.array([i for ids in self.search(segment) for i in ids], "<i4").tobytes()
                 if len(segment) <= LONG:
                     known[segment] = ids
             out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces joined, bytes put together, the dummy prefix taken off."""
-        out = bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                out.append(self.of_byte[i])
-            else:
-                out += self.text.get(i, "").encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: bytes of the pieces put together, the dummy prefix taken off."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        text = self.joined[place].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -189,7 +196,10 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = [codec.decode(x or []) for x in part.column("ids").to_pylist()]
+                lists = part.column("ids").fill_null([])
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+                texts = [codec.decode(x) for x in np.split(flat, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
