@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Text bytes that a numpy step takes at a time; one longer text is taken whole.
 CHUNK_BYTES = 2_000_000
+#: Rows that go to Python at a time.
+BATCH_ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -88,6 +90,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """frame.mapInArrow, with batches of so few rows that long texts fit in them many times over."""
+    conf = frame.sparkSession.conf
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(most)) <= BATCH_ROWS:
+        conf.set(most, BATCH_ROWS)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return frame.mapInArrow(tidy, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, nulls as empty, and the n + 1 places where its values begin and end."""
     column = column.cast(pa.large_string()).fill_null("")

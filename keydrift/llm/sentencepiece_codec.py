@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import kept_by_worker, slices
+from keydrift.llm.common import kept_by_worker, mapped, slices
 
 SPACE = "▁"
 #: Segments whose ids, and pairs whose verdicts, a worker remembers; longer segments are searched each time.
@@ -49,8 +49,15 @@ class Codec:
         self.joined = np.frombuffer(b"".join(texts), np.uint8)
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.verdicts: dict[int, bool] = {}
-        #: Pieces that joins do make; the others are never found in a text.
-        self.made = {p: i for p, i in self.ids.items() if len(p) == 1 or self.split(p) is not None}
+        self.size = model.vocab_size()
+        #: Trie of the pieces from their last character back, an id under "". Pieces that joins never make are left out.
+        self.ends: dict = {}
+        for piece, i in self.ids.items():
+            if len(piece) == 1 or self.split(piece) is not None:
+                node = self.ends
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = i
         self.known: dict[str, bytes] = {}  # ids of segments; when full, it becomes the older generation
         self.older: dict[str, bytes] = {}
 
@@ -91,32 +98,32 @@ class Codec:
 
     def allowed(self, before: int, piece: int) -> bool:
         """Whether merging the texts of two pieces one after the other gives these two pieces."""
-        key = before << 32 | piece
-        verdict = self.verdicts.get(key)
-        if verdict is None:
-            if len(self.verdicts) >= REMEMBERED:
-                self.verdicts.clear()
-            verdict = self.verdicts[key] = self._apart(self.text[before], self.text[piece])
+        if len(self.verdicts) >= REMEMBERED:
+            self.verdicts.clear()
+        verdict = self.verdicts[before * self.size + piece] = self._apart(self.text[before], self.text[piece])
         return verdict
 
     def search(self, text: str) -> Iterator[list[int]]:
         """The ids of a text without its dummy prefix, committed from left to right."""
-        made, longest, verdicts = self.made, self.longest, self.verdicts
+        ends, longest, verdicts, size = self.ends, self.longest, self.verdicts, self.size
         base, done = 0, 0  # the place that index 0 of the lists stands for; the committed boundary
         ids: list[int] = [NOTHING]  # the piece that ends at each place: NOTHING, or UNKNOWN for one character
         back: list[int] = [0]  # where it begins
         n = len(text)
         for end in range(1, n + 1):
-            found, begin = UNKNOWN, end - 1
-            for start in range(max(done, end - longest), end):
-                piece = made.get(text[start:end])
+            found, begin, start, node = UNKNOWN, end - 1, end, ends
+            while start > done:
+                start -= 1
+                node = node.get(text[start])
+                if node is None:
+                    break
+                piece = node.get("")
                 if piece is not None:
                     before = ids[start - base]
-                    if before < 0:
-                        found, begin = piece, start
-                        break
-                    verdict = verdicts.get(before << 32 | piece)
-                    if verdict or (verdict is None and self.allowed(before, piece)):
+                    verdict = before < 0 or verdicts.get(before * size + piece)
+                    if verdict is None:
+                        verdict = self.allowed(before, piece)
+                    if verdict:
                         found, begin = piece, start
                         break
             ids.append(found)
@@ -185,7 +192,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -202,4 +209,4 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
                 texts = [codec.decode(x) for x in np.split(flat, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return rows.select("doc_id", "ids").transform(mapped, run, "doc_id long, ids array<int>, text string")
