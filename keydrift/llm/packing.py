@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import kept_by_worker, slices
+from keydrift.llm.common import kept_by_worker, mapped, slices
 
 #: Tokens of a sequence; the id that ends a document; tokens that a task holds before it packs them.
 LENGTH, END, WINDOW = 4096, 2, 1 << 20
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
 #: Words whose ids a worker remembers (some 200 bytes each), and bytes of text whose new words are encoded together.
-REMEMBERED, TOGETHER = 800_000, 8_000_000
+REMEMBERED, TOGETHER = 400_000, 6_000_000
 
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: The tokenizer's own split, for texts in which lower case and composition are those of Latin letters.
@@ -157,16 +157,26 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDO
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
+        def take(rows: list[tuple[int | None, str]]) -> None:
+            nonlocal count
+            for (doc_id, _), ids in zip(rows, tokens([text for _, text in rows]), strict=True):
+                held.append((doc_id, len(ids) // 4 + 1, 0, ids + last))
+                count += len(ids) // 4 + 1
+
+        waiting: list[tuple[int | None, str]] = []
+        size = 0
         for batch in batches:
-            for part in slices(batch, "text", TOGETHER):
-                texts = part.column("text").fill_null("").to_pylist()
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), tokens(texts), strict=True):
-                    held.append((doc_id, len(ids) // 4 + 1, 0, ids + last))
-                    count += len(ids) // 4 + 1
+            for part in slices(batch, "text"):
+                waiting += zip(part.column("doc_id").to_pylist(), part.column("text").fill_null("").to_pylist(), strict=True)
+                size += part.column("text").nbytes
+                if size >= TOGETHER:
+                    take(waiting)
+                    waiting, size = [], 0
                 if count >= window:
                     yield from emit([length] * (count // length))
                     count %= length
+        take(waiting)
         yield from emit([length] * (count // length) + powers(count % length))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.transform(mapped, run, SCHEMA)
