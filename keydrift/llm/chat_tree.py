@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import kept_by_worker, saved
+from keydrift.llm.common import kept_by_worker, mapped, saved
 
 # The template's control strings, and who is trained on.
 START, STOP, TRAINED = "<|im_start|>", "<|im_end|>", "assistant"
@@ -75,7 +75,7 @@ def tokenized(nodes: DataFrame, path: str) -> DataFrame:
                     names=["node", "ids", "body_begin", "body_end", "trained"],
                 )
 
-    return nodes.mapInArrow(run, "node string, ids array<int>, body_begin long, body_end long, trained boolean")
+    return nodes.transform(mapped, run, "node string, ids array<int>, body_begin long, body_end long, trained boolean")
 
 
 def _tokenizer(path: str) -> object:
@@ -157,7 +157,7 @@ def texts(nodes: DataFrame, path: str) -> DataFrame:
                     [part.column("node"), part.column("offset"), pa.array(whole, pa.string()), pa.array(loss, pa.string())], names=["node", "offset", "text", "loss"]
                 )
 
-    return nodes.select("node", "offset", "ids", "loss_begin", "loss_end").mapInArrow(run, "node string, offset long, text string, loss string")
+    return nodes.select("node", "offset", "ids", "loss_begin", "loss_end").transform(mapped, run, "node string, offset long, text string, loss string")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame, path: str) -> DataFrame:

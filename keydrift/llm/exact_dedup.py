@@ -23,7 +23,8 @@ ON_DISK = {
     f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{STATE}.rocksdb.allowFAllocate": "false",
     f"{STATE}.rocksdb.boundedMemoryUsage": "true",
-    f"{STATE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{STATE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{STATE}.rocksdb.writeBufferSizeMB": "4",
 }
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, hashed_sample, slices, utf8
+from keydrift.llm.common import crc_fold, hashed_sample, mapped, slices, utf8
 
 #: Bytes of a window, widths of filters, filters of each width; languages that can't be told.
 WINDOW, WIDTHS, FILTERS, UNKNOWN = 256, (2, 3, 4), 16, "und"
@@ -172,7 +172,7 @@ def identified(docs: DataFrame, net: Network | None) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("lettered"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.transform(mapped, run, "doc_id long, lang_pred string, score double")
 
 
 def languages(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import components, if_small, mixed, numbers, saved, slices, utf8
+from keydrift.llm.common import components, if_small, mapped, mixed, numbers, saved, slices, utf8
 
 WORDS = 5
 #: Linked if 100 * intersection >= 75 * union.
@@ -109,7 +109,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_key (equal for equal sets; null without words), signature."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(
+        mapped,
         _sign, "doc_id long, n_shingles long, class_key binary, signature binary"
     )
 
@@ -185,12 +186,12 @@ PAIRS = "a long, b long, tree int, path binary, node long, n_shingles long"
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs a < b of classes (node, n_shingles, signature) that are neighbours in some order."""
-    rows = classes.mapInArrow(_prefixes, "tree int, path binary, node long, n_shingles long")
+    rows = classes.transform(mapped, _prefixes, "tree int, path binary, node long, n_shingles long")
     key = ["tree", "path", F.xxhash64("node", "tree"), "node"]
-    walked = saved(rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_neighbours, PAIRS), "walked")
+    walked = saved(rows.repartitionByRange(*key).sortWithinPartitions(*key).transform(mapped, _neighbours, PAIRS), "walked")
     # Rows beside the borders of partitions, 2 * REACH of each: walked once more in one sorted partition.
     borders = walked.where("node is not null").drop("a", "b").distinct().coalesce(1).sortWithinPartitions(*key)
-    across = borders.mapInArrow(_neighbours, PAIRS)
+    across = borders.transform(mapped, _neighbours, PAIRS)
     return walked.union(across).where("a is not null").select("a", "b").distinct()
 
 
@@ -215,14 +216,14 @@ def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose full sets of shingles are similar enough. A class's set is that of one of its texts."""
     nodes = saved(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct(), "nodes")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = texts.join(if_small(nodes), "node", "left_semi").mapInArrow(_sets, "node long, shingles binary")
+    sets = texts.join(if_small(nodes), "node", "left_semi").transform(mapped, _sets, "node long, shingles binary")
     # Rows that repeat a doc_id are one document: its largest set stands for it.
     sets = saved(sets, "sets").groupBy("node").agg(F.max("shingles").alias("shingles"))
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     )
-    return both.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long")
+    return both.select("a", "b", "x", "y").transform(mapped, _confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

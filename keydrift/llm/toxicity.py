@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, hashed_sample, if_small, saved, slices
+from keydrift.llm.common import crc_fold, hashed_sample, if_small, mapped, saved, slices
 
 #: Labelled documents of each class that the lexicon and the weights are learned from at most, chosen by hash.
 SAMPLE = 3000
@@ -275,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *columns], names=["toxic", *FEATURES])
 
     kinds = ", ".join(f"{f} double" for f in FEATURES)
-    rows = sample.select("text", "toxic").mapInArrow(run, f"toxic int, {kinds}").collect()  # at most 2 * SAMPLE rows of numbers
+    rows = sample.select("text", "toxic").transform(mapped, run, f"toxic int, {kinds}").collect()  # at most 2 * SAMPLE rows of numbers
     if len(counts) < 2:
         return Model(entries, found, np.zeros(len(FEATURES)), 4.0 if counts.get(1) else -4.0)
     rows = np.array(sorted(tuple(r) for r in rows), float)
@@ -303,7 +303,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 x = features(part.column("text").fill_null("").to_pylist(), model.found, classes)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, "doc_id long, score double")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
