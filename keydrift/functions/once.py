@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
-from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 
 _kept: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def built_once(name: str, build: Callable[[], Column]) -> Column:
-    """The column ``build`` makes, built once per JVM; ``name`` must identify it fully."""
-    gateway = SparkContext._active_spark_context._gateway
-    columns = _kept.setdefault(gateway, {})
+    """The column ``build`` makes, built once per session; ``name`` must identify it fully."""
+    columns = _kept.setdefault(SparkSession.active(), {})
     if name not in columns:
         columns[name] = build()
     return columns[name]

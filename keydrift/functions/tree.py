@@ -28,6 +28,13 @@ STRING_BODY = STRING_TOKEN.replace('"[', '"([', 1)[:-1] + ')"'
 # Keys that enumerate first, in numeric order, are integers below this bound.
 INDEX_KEY = "^(?:0|[1-9][0-9]{0,9})$"
 INDEX_KEY_BOUND = 4294967295
+#: Strict JSON without limits on the lengths of numbers and strings.
+JSON_OPTIONS = {
+    "maxNumLen": "2147483647",
+    "maxStringLen": "2147483647",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
 
 
 # --- opening documents -------------------------------------------------------------------
@@ -67,17 +74,14 @@ def kind_of(value: Column) -> Column:
 
 
 def open_object(value: Column) -> Column:
-    """Marked object text → map of marked key to marked value, in document order."""
-    members = F.from_json(value, "map<string,string>")
-    members = F.coalesce(
-        members,
-        F.raise_error(F.lit("a validated document could not be opened")).cast(
-            "map<string,string>"
-        ),
-    )
+    """Marked object text → map of marked key to marked value, in document order.
+
+    The text comes from a document that was checked as a whole, with the same options.
+    """
+    members = F.from_json(value, "map<string,string>", JSON_OPTIONS)
     return F.map_from_entries(
         F.transform(
-            F.map_entries(members),
+            F.map_entries(F.coalesce(members, empty_object())),
             lambda e: F.struct(
                 e["key"].alias("key"),
                 F.coalesce(e["value"], F.lit("null")).alias("value"),
@@ -88,7 +92,7 @@ def open_object(value: Column) -> Column:
 
 def open_array(value: Column) -> Column:
     return F.transform(
-        F.from_json(value, "array<string>"), lambda v: F.coalesce(v, F.lit("null"))
+        F.from_json(value, "array<string>", JSON_OPTIONS), lambda v: F.coalesce(v, F.lit("null"))
     )
 
 
@@ -96,8 +100,16 @@ def empty_object() -> Column:
     return F.create_map().cast("map<string,string>")
 
 
-def open_or_empty(value: Column) -> Column:
-    return F.when(is_object(value), open_object(value)).otherwise(empty_object())
+def open_target(value: Column) -> Column:
+    """Members of a target value: an array's elements under their indexes, none of a scalar."""
+    elements = F.transform(
+        open_array(value), lambda v, i: F.struct(F.concat(F.lit("s"), i.cast("string")).alias("key"), v.alias("value"))
+    )
+    return (
+        F.when(is_object(value), open_object(value))
+        .when(is_array(value), F.map_from_entries(elements))
+        .otherwise(empty_object())
+    )
 
 
 def key_text(marked_key: Column) -> Column:
@@ -150,8 +162,8 @@ def levels(*values: Column) -> Column:
 # --- rendering ---------------------------------------------------------------------------
 
 _LINE = (
-    "struct<text:string,pad:string,tail:string,source:string,target:string,"
-    "path:array<string>,hit:boolean,closed:boolean>"
+    "struct<ordinal:array<int>,text:string,pad:string,tail:string,source:string,target:string,"
+    "path:array<string>,picked:array<array<string>>,hit:boolean,closed:boolean>"
 )
 _MEMBERS = "array<struct<key:string,source:string,target:string,hit:boolean>>"
 
@@ -189,46 +201,42 @@ def rendered_lines(
     picked: Column | None = None,
     indent: int = 2,
 ) -> Column:
-    """Lines of the printed document, as ``array<struct<text, path, hit, …>>``.
+    """Lines of the printed document, as ``array<struct<ordinal, text, path, hit, source, …>>``.
 
-    With ``source``, keys of ``source`` that ``value`` lacks are taken over on the way, and
-    ``hit`` marks the line where each of them starts. ``picked`` (array of paths) restricts
-    which; without it all are.
+    With ``source``, keys of ``source`` that ``value`` lacks are taken over on the way; ``hit`` marks
+    the line where each of them starts and ``source`` holds its marked value there. ``picked`` (array
+    of paths) restricts which; without it all are. Finished lines leave the fold with the ordinal of
+    their place, so that a level costs what it opens.
     """
     source = F.lit(None).cast("string") if source is None else source
     root = _line(
+        ordinal=F.array().cast("array<int>"),
         text=F.lit(""),
         pad=F.lit(""),
         tail=F.lit(""),
         source=source,
         target=value,
         path=F.array().cast("array<string>"),
+        picked=F.lit(None).cast("array<array<string>>") if picked is None else picked,
         hit=F.lit(False),
         closed=F.lit(False),
     )
     start = F.struct(
-        F.array(root).cast(f"array<{_LINE}>").alias("lines"), F.lit(True).alias("more")
+        F.array().cast(f"array<{_LINE}>").alias("found"),
+        F.array(root).cast(f"array<{_LINE}>").alias("open"),
     )
 
     def next_level(state: Column, _: Column) -> Column:
-        opened = F.flatten(
-            F.transform(
-                state["lines"],
-                lambda line: F.when(line["closed"], F.array(line)).otherwise(
-                    _expand(line, picked, indent)
-                ),
-            )
-        )
         advanced = let(
-            opened,
+            F.flatten(F.transform(state["open"], lambda line: _expand(line, picked is not None, indent))),
             lambda lines: F.struct(
-                lines.alias("lines"),
-                F.exists(lines, lambda line: ~line["closed"]).alias("more"),
+                F.concat(state["found"], F.filter(lines, lambda line: line["closed"])).alias("found"),
+                F.filter(lines, lambda line: ~line["closed"]).alias("open"),
             ),
         )
-        return F.when(state["more"], advanced).otherwise(state)
+        return F.when(F.size(state["open"]) == 0, state).otherwise(advanced)
 
-    return F.aggregate(levels(source, value), start, next_level)["lines"]
+    return F.array_sort(F.aggregate(levels(source, value), start, next_level)["found"])
 
 
 def _line(**fields: Column) -> Column:
@@ -241,14 +249,14 @@ def _member(key: Column, source: Column, target: Column, hit: Column) -> Column:
     )
 
 
-def _expand(line: Column, picked: Column | None, indent: int) -> Column:
+def _expand(line: Column, picked: bool, indent: int) -> Column:
     """One open line → its own line and, for a container, its members and closing line."""
     return let(
         _contents(line, picked), lambda inside: _lines_of(line, inside, indent)
     )
 
 
-def _contents(line: Column, picked: Column | None) -> Column:
+def _contents(line: Column, picked: bool) -> Column:
     """Kind (first character) and members of a line's value after taking over missing keys."""
     value = F.coalesce(line["target"], line["source"])
     as_is = F.struct(
@@ -280,24 +288,37 @@ def _contents(line: Column, picked: Column | None) -> Column:
         & (line["source"] != line["target"])
     )
 
-    def taken(key: Column) -> Column:
-        if picked is None:
-            return F.lit(True)
-        path = F.concat(line["path"], F.array(key))
-        return F.array_contains(picked, path)
+    def chosen(opened: Column) -> Column:
+        """Members of source, then of target, as (key, a, b, taken). Choices are matched by hash as a third side."""
+        both = F.map_zip_with(
+            opened["source"], opened["target"], lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))
+        )
+        if not picked:
+            return F.transform(
+                F.map_entries(both),
+                lambda e: F.struct(e["key"].alias("key"), e["value"].alias("side"), F.lit(True).alias("taken")),
+            )
+        here = F.transform(
+            F.filter(line["picked"], lambda p: F.size(p) == 1),
+            lambda p: F.struct(F.concat(F.lit("s"), p[0]).alias("key"), F.lit(True).alias("value")),
+        )
+        marks = F.map_zip_with(
+            both, F.map_from_entries(here), lambda _, side, t: F.struct(side.alias("side"), t.isNotNull().alias("taken"))
+        )
+        return F.transform(
+            F.filter(F.map_entries(marks), lambda e: e["value"]["side"].isNotNull()),
+            lambda e: F.struct(e["key"].alias("key"), e["value"]["side"].alias("side"), e["value"]["taken"].alias("taken")),
+        )
 
     def merged(opened: Column) -> Column:
         by_source = F.filter(
             F.transform(
-                paired_members(opened["source"], opened["target"]),
-                lambda e: let(
+                chosen(opened),
+                lambda e: _member(
                     key_text(e["key"]),
-                    lambda key: _member(
-                        key,
-                        e["value"]["a"],
-                        e["value"]["b"],
-                        e["value"]["b"].isNull() & taken(key),
-                    ),
+                    e["side"]["a"],
+                    e["side"]["b"],
+                    e["side"]["b"].isNull() & e["taken"],
                 ),
             ),
             lambda m: m["target"].isNotNull() | m["hit"],
@@ -326,7 +347,7 @@ def _contents(line: Column, picked: Column | None) -> Column:
 
     both = F.struct(
         open_object(line["source"]).alias("source"),
-        open_or_empty(line["target"]).alias("target"),
+        open_target(line["target"]).alias("target"),
     )
     return F.when(shared, let(both, merged)).otherwise(as_is)
 
@@ -350,14 +371,18 @@ def _lines_of(line: Column, inside: Column, indent: int) -> Column:
     opening, closing = kind, F.when(kind == "{", F.lit("}")).otherwise(F.lit("]"))
     step, colon = " " * indent, '": ' if indent else '":'
 
-    def closed(text: Column, hit: Column, path: Column = line["path"]) -> Column:
+    def closed(
+        ordinal: Column, text: Column, hit: Column, given: Column, path: Column = line["path"]
+    ) -> Column:
         return _line(
+            ordinal=ordinal,
             text=text,
             pad=F.lit(None).cast("string"),
             tail=F.lit(None).cast("string"),
-            source=F.lit(None).cast("string"),
+            source=F.when(hit, given),
             target=F.lit(None).cast("string"),
             path=path,
+            picked=F.lit(None).cast("array<array<string>>"),
             hit=hit,
             closed=F.lit(True),
         )
@@ -369,24 +394,31 @@ def _lines_of(line: Column, inside: Column, indent: int) -> Column:
         )
         tail = F.when(position < count - 1, F.lit(",")).otherwise(F.lit(""))
         path = F.concat(line["path"], F.array(member["key"]))
+        ordinal = F.concat(line["ordinal"], F.array(position))
         given = F.coalesce(member["target"], member["source"])
+        below = F.transform(
+            F.filter(line["picked"], lambda p: (F.size(p) > 1) & (p[0] == member["key"])),
+            lambda p: F.slice(p, F.lit(2), F.size(p)),
+        )
         is_open = (
             is_object(given)
             | is_array(given)
             | (is_object(member["source"]) & member["target"].isNotNull())
         )
         opened = _line(
+            ordinal=ordinal,
             text=F.concat(pad, label),
             pad=pad,
             tail=tail,
             source=member["source"],
             target=member["target"],
             path=path,
+            picked=F.when(F.size(line["picked"]) > 0, below),
             hit=member["hit"],
             closed=F.lit(False),
         )
         finished = closed(
-            F.concat(pad, label, scalar_json(given), tail), member["hit"], path
+            ordinal, F.concat(pad, label, scalar_json(given), tail), member["hit"], given, path
         )
         return F.when(is_open, opened).otherwise(finished)
 
@@ -394,17 +426,26 @@ def _lines_of(line: Column, inside: Column, indent: int) -> Column:
         count = F.size(members)
         return F.when(
             count == 0,
-            F.array(closed(F.concat(line["text"], opening, closing, line["tail"]), line["hit"])),
+            F.array(closed(line["ordinal"], F.concat(line["text"], opening, closing, line["tail"]), line["hit"], value)),
         ).otherwise(
             F.concat(
-                F.array(closed(F.concat(line["text"], opening), line["hit"])),
+                F.array(closed(line["ordinal"], F.concat(line["text"], opening), line["hit"], value)),
                 F.transform(members, lambda m, i: child(m, i, count)),
-                F.array(closed(F.concat(line["pad"], closing, line["tail"]), F.lit(False))),
+                F.array(
+                    closed(
+                        F.concat(line["ordinal"], F.array(count)),
+                        F.concat(line["pad"], closing, line["tail"]),
+                        F.lit(False),
+                        value,
+                    )
+                ),
             )
         )
 
     return F.when(
         kind.isin("{", "["), let(_enumerated(inside["members"]), container)
     ).otherwise(
-        F.array(closed(F.concat(line["text"], scalar_json(value), line["tail"]), line["hit"]))
+        F.array(
+            closed(line["ordinal"], F.concat(line["text"], scalar_json(value), line["tail"]), line["hit"], value)
+        )
     )

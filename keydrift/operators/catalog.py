@@ -6,12 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Fixed value: rows returned by one listing.
-LIST_CAP = 1000
 
-
-def newest_first(catalog: DataFrame, cap: int | None = LIST_CAP) -> DataFrame:
-    """Latest ``create_at`` first, rows without one before all others, ``id`` breaking ties."""
+def newest_first(catalog: DataFrame, cap: int | None = None) -> DataFrame:
+    """Latest ``create_at`` first, rows without one before all others, ``id`` breaking ties; all of
+    them, or the first ``cap``."""
     ordered = catalog.orderBy(F.col("create_at").desc_nulls_first(), F.col("id"))
     return ordered if cap is None else ordered.limit(cap)
 
@@ -32,15 +30,15 @@ def matches_facet(column: str, term: str) -> Column:
 
 
 def search_queries(
-    queries: DataFrame, term: str = "", hospital: str = "", cap: int | None = LIST_CAP
+    queries: DataFrame, term: str = "", hospital: str = "", cap: int | None = None
 ) -> DataFrame:
-    """Newest queries that match; the search sees only the listed rows unless ``cap`` is None."""
+    """Queries that match, newest first; with ``cap`` the search sees only that many newest rows."""
     return newest_first(queries, cap).where(
         contains_text(("title", "query"), term) & matches_facet("hos_use", hospital)
     )
 
 
-def search_notes(notes: DataFrame, term: str = "", cap: int | None = LIST_CAP) -> DataFrame:
+def search_notes(notes: DataFrame, term: str = "", cap: int | None = None) -> DataFrame:
     return newest_first(notes, cap).where(contains_text(("note", "description"), term))
 
 

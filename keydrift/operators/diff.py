@@ -13,11 +13,11 @@ from keydrift.functions.tree import (
     levels,
     marked,
     open_object,
-    open_or_empty,
+    open_target,
     paired_members,
     rank_of,
 )
-from keydrift.operators.validate import can_walk
+from keydrift.operators.validate import can_walk, json_error
 from keydrift.plans.session import require_settings
 
 _NODES = "array<struct<ordinal:array<bigint>,path:array<string>,source:string,target:string>>"
@@ -58,7 +58,7 @@ def _is_missing(node: Column) -> Column:
 def _missing_or_open(node: Column) -> Column:
     """Members of a source object that the target lacks, or that both sides must open."""
     members = F.transform(
-        paired_members(open_object(node["source"]), open_or_empty(node["target"])),
+        paired_members(open_object(node["source"]), open_target(node["target"])),
         lambda e, position: F.struct(
             e["key"].alias("key"),
             position.alias("position"),
@@ -128,6 +128,11 @@ def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Data
 
 
 def missing_counts(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """Number of missing keys per pair, zero included: ``keep…, n_missing``. Narrow as well."""
+    """Number of missing keys per pair, zero included: ``keep…, n_missing, status``. Narrow as well.
+
+    ``status`` names the fault of a side that could not be read, whose pair has no count but zero.
+    """
     found = F.when(F.col("missing").isNotNull(), F.size("missing")).otherwise(0)
-    return _walked(pairs, keep).select(*keep, found.cast("bigint").alias("n_missing"))
+    status = F.coalesce(json_error(F.col("target_json")), json_error(F.col("source_json")))
+    walked = _walked(pairs.withColumn("status", status), (*keep, "status"))
+    return walked.select(*keep, found.cast("bigint").alias("n_missing"), "status")

@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from keydrift.operators.merge import imported_keys
+
+# Kinds of an import and their labels.
 SINGLE, ALL = "single", "all"
+LABELS = {ALL: "Bulk", SINGLE: "Single"}
 
 
 def history_rows(imported: DataFrame, kind: str, at: Column | None = None) -> DataFrame:
-    """Missing-key rows → history rows; ``batch_seq`` keeps the order inside one import."""
+    """Missing or imported keys → history rows; ``batch_seq`` keeps the order inside one import.
+
+    Rows keep the order they come in: comparing and importing are narrow, so pairs that were
+    ordered beforehand need no sort of their rows.
+    """
     if kind not in (SINGLE, ALL):
         raise ValueError(f"kind must be {SINGLE!r} or {ALL!r}, not {kind!r}")
     at = F.current_timestamp() if at is None else at
@@ -26,12 +34,18 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def import_history(merged: DataFrame, kind: str, at: Column | None = None) -> DataFrame:
+    """History of exactly the keys that an import (``import_all``, ``import_selected``) took over."""
+    return history_rows(imported_keys(merged), kind, at)
+
+
 def newest_history_first(history: DataFrame) -> DataFrame:
+    """Stored history; for new rows order the pairs before they are walked."""
     return history.orderBy(F.col("ts").desc_nulls_first(), "pair_id", "batch_seq")
 
 
 def with_label(history: DataFrame) -> DataFrame:
-    return history.withColumn("label", F.when(F.col("type") == ALL, "Bulk").otherwise("Single"))
+    return history.withColumn("label", F.when(F.col("type") == ALL, LABELS[ALL]).otherwise(LABELS[SINGLE]))
 
 
 def without_pairs(history: DataFrame, cleared: DataFrame) -> DataFrame:

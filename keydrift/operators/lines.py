@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keydrift.functions.once import built_once
 from keydrift.functions.text import let, trimmed
+from keydrift.plans.session import require_settings
 
 
 def numbered_lines(
@@ -19,41 +20,6 @@ def numbered_lines(
     return split.where("pos IS NOT NULL").select(*keep, (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def first_matching_lines(lines: DataFrame, paths: DataFrame, key: str = "pair_id") -> DataFrame:
-    """First line that starts with the path's last key in quotes: ``key, path, line_no``.
-
-    Only the last segment counts, and as it stands, without JSON escapes. A line can only start
-    with ``"k"`` when its text up to the second quote is the same as ``k``'s, so lines are first
-    reduced to one row per such head; a key that itself holds a quote needs the whole line.
-    Unmatched paths give no row.
-    """
-    head = F.regexp_extract(F.col("shown"), '^"([^"]*+)"', 1)
-    quoted_lines = (
-        lines.select(key, "line_no", trimmed(F.col("line")).alias("shown"))
-        .where(F.startswith(F.col("shown"), F.lit('"')))
-        .withColumn("head", head)
-    )
-    wanted = paths.select(
-        key, "path", F.concat(F.lit('"'), F.element_at("path", -1), F.lit('"')).alias("shown")
-    ).select(key, "path", F.col("shown").alias("prefix"), head.alias("head"))
-    has_quote = F.contains(F.element_at("path", -1), F.lit('"'))
-
-    by_head = quoted_lines.groupBy(key, "head").agg(F.min("line_no").alias("line_no"))
-    plain = wanted.where(~has_quote).join(by_head, [key, "head"]).select(key, "path", "line_no")
-
-    odd = wanted.where(has_quote).join(quoted_lines, [key, "head"])
-    odd = odd.where(F.startswith(F.col("shown"), F.col("prefix")))
-    odd = odd.groupBy(key, "path").agg(F.min("line_no").alias("line_no"))
-    return plain.unionByName(odd)
-
-
-def highlighted_lines(located: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Distinct line numbers per document, ascending: ``key, line_nos``."""
-    return located.groupBy(key).agg(
-        F.array_sort(F.collect_set("line_no")).alias("line_nos")
-    )
-
-
 def exact_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """Exact line of each imported path, known from printing: ``keep…, path, line_no``."""
     hits = merged.select(*keep, F.explode_outer("import_lines").alias("hit"))
@@ -63,11 +29,14 @@ def exact_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Data
 
 
 def located_lines(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """:func:`first_matching_lines` for imported paths, inside each row: no line leaves it.
+    """First line that starts with an imported path's last key in quotes, inside each row.
 
-    ``merged`` comes from an import; the result has ``keep…, located`` with one
-    ``struct<path, line_no>`` per matched path.
+    Only the last segment counts, and as it stands, without JSON escapes. A line starts with
+    ``"k"`` when its text up to the second quote is that; only for a key that itself holds a quote
+    are a line's longer beginnings looked at, and both are matched by hash. ``merged`` comes from
+    an import; the result has ``keep…, located`` with one ``struct<path, line_no>`` per matched path.
     """
+    require_settings(merged.sparkSession)
     located = built_once("located_lines", _located)
     return merged.select(*keep, located.alias("located"))
 
@@ -113,15 +82,40 @@ def _match_paths(shown: Column) -> Column:
     )
     found = F.map_filter(wanted, lambda _, line_no: line_no.isNotNull())
 
-    def line_of(lines_by_key: Column, key: Column) -> Column:
-        prefix = F.concat(F.lit('"'), key, F.lit('"'))
-        matching = F.filter(shown, lambda line: F.startswith(line["text"], prefix))
-        return F.when(
-            F.contains(key, F.lit('"')), F.get(matching, F.lit(0))["line_no"]
-        ).otherwise(lines_by_key[key])
+    has_quote = lambda key: F.contains(key, F.lit('"'))
+    odd = F.transform(F.filter(keys, has_quote), lambda key: F.concat(F.lit('"'), key, F.lit('"')))
+    longest = F.coalesce(F.array_max(F.transform(odd, F.length)), F.lit(0))
+
+    def beginnings(line: Column, longest: Column) -> Column:
+        """The line's texts up to its third and later quotes, as far as the longest odd key goes."""
+        near = F.substring(line["text"], F.lit(1), longest)
+        quotes = F.length(near) - F.length(F.replace(near, F.lit('"'), F.lit("")))
+        ends = F.filter(F.sequence(F.lit(2), F.greatest(quotes, F.lit(2))), lambda n: (n > 2) & (n <= quotes))
+        return F.transform(
+            ends,
+            lambda n: F.struct(
+                F.concat(F.call_function("substring_index", near, F.lit('"'), n), F.lit('"')).alias("head"), line["line_no"].alias("line_no")
+            ),
+        )
+
+    every = let(
+        longest,
+        lambda most: F.flatten(F.transform(F.reverse(shown), lambda line: beginnings(line, most))),
+    )
+    later = F.when(F.size(odd) > 0, every).otherwise(F.array().cast("array<struct<head:string,line_no:int>>"))
+    wanted_odd = F.map_zip_with(
+        F.map_from_arrays(odd, odd),
+        F.map_from_entries(later),
+        lambda _, key, line_no: F.when(key.isNotNull(), line_no),
+    )
+    found_odd = F.map_filter(wanted_odd, lambda _, line_no: line_no.isNotNull())
+    both = F.struct(found.alias("plain"), found_odd.alias("odd"))
+
+    def line_of(lines: Column, key: Column) -> Column:
+        return F.when(has_quote(key), lines["odd"][F.concat(F.lit('"'), key, F.lit('"'))]).otherwise(lines["plain"][key])
 
     return let(
-        found,
+        both,
         lambda lines_by_key: F.filter(
             F.transform(
                 F.col("import_lines"),

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from keydrift.functions.once import built_once
-from keydrift.functions.tree import marked, rendered_lines
-from keydrift.operators.validate import can_walk
+from keydrift.functions.tree import compact_json, marked, rendered_lines
+from keydrift.operators.diff import missing_keys
+from keydrift.operators.validate import can_walk, json_error
 from keydrift.plans.session import require_settings
 
+_HITS = "array<struct<path:array<string>,line_no:int,source:string>>"
+
 
 def import_all(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
-    """Every missing key taken over: ``keep…, merged_json, n_imported, import_lines``.
+    """Every missing key taken over: ``keep…, merged_json, n_imported, import_lines, status``.
 
     A pair without missing keys, or with a side that cannot be compared, keeps its target text
-    unchanged. ``import_lines`` lists the exact line of each imported path.
+    unchanged. ``import_lines`` lists path, exact line and marked value of each imported key;
+    :func:`imported_keys` makes rows of them. ``status`` tells a side that could not be read.
     """
     return _merged(pairs, keep, None)
 
@@ -27,19 +31,32 @@ def import_selected(
 ) -> DataFrame:
     """Only the selected missing keys taken over; ``selection`` has ``key`` and ``path``.
 
-    A path that is no missing key of its pair has no effect. The paths of one pair are
-    gathered into its row, so they are bounded by the keys of one document.
+    A path that is no missing key of its pair has no effect and is dropped before the paths of
+    one pair are gathered into its row; so they are bounded by the keys of one document.
     """
-    picked = selection.groupBy(key).agg(F.collect_set("path").alias("picked"))
+    selection = selection.select(key, "path").distinct()
+    known = missing_keys(pairs, keep=(key,)).select(key, "path")
+    selection = selection.join(known, [key, "path"], "left_semi")
+    picked = selection.groupBy(key).agg(F.collect_list("path").alias("picked"))
     none = F.array().cast("array<array<string>>")
     chosen = pairs.join(picked, key, "left").withColumn("picked", F.coalesce("picked", none))
     return _merged(chosen, keep, "picked")
 
 
+def imported_keys(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
+    """What an import took over, in printed order: ``keep…, seq, path, line_no, value_json``."""
+    hits = merged.select(*keep, F.posexplode_outer("import_lines").alias("seq", "hit"))
+    value = built_once("compact import", lambda: compact_json(F.col("hit.source")))
+    return hits.where("seq IS NOT NULL").select(
+        *keep, "seq", F.col("hit.path").alias("path"), F.col("hit.line_no").alias("line_no"), value.alias("value_json")
+    )
+
+
 def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> DataFrame:
     require_settings(pairs.sparkSession)
     target, source = F.col("target_json"), F.col("source_json")
-    carried = [*keep, "target_json"] + ([picked] if picked else [])
+    carried = [*keep, "target_json", "status"] + ([picked] if picked else [])
+    pairs = pairs.withColumn("status", F.coalesce(json_error(target), json_error(source)))
     # Pairs that cannot be compared carry NULL marks: they are printed as they came.
     ready = pairs.select(
         *carried, "source_json", can_walk(target, source).alias("walkable")
@@ -55,25 +72,29 @@ def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> Data
         ),
     )
     printed = ready.select(
-        *keep, "target_json", F.when(F.col("target").isNotNull(), lines).alias("lines")
+        *keep, "target_json", "status", F.when(F.col("target").isNotNull(), lines).alias("lines")
     )
     numbered = F.transform(
         "lines",
         lambda line, position: F.struct(
-            line["path"].alias("path"), (position + 1).alias("line_no"), line["hit"].alias("hit")
+            line["path"].alias("path"),
+            (position + 1).alias("line_no"),
+            line["source"].alias("source"),
+            line["hit"].alias("hit"),
         ),
     )
     hits = F.transform(
         F.filter(numbered, lambda n: n["hit"]),
-        lambda n: F.struct(n["path"].alias("path"), n["line_no"].alias("line_no")),
+        lambda n: F.struct(
+            n["path"].alias("path"), n["line_no"].alias("line_no"), n["source"].alias("source")
+        ),
     )
     located = printed.select(
         *keep,
         "target_json",
+        "status",
         "lines",
-        F.coalesce(hits, F.array().cast("array<struct<path:array<string>,line_no:int>>")).alias(
-            "import_lines"
-        ),
+        F.coalesce(hits, F.array().cast(_HITS)).alias("import_lines"),
     )
     changed = F.size("import_lines") > 0
     text = F.array_join(F.transform("lines", lambda line: line["text"]), "\n")
@@ -82,4 +103,5 @@ def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> Data
         F.when(changed, text).otherwise(F.col("target_json")).alias("merged_json"),
         F.size("import_lines").alias("n_imported"),
         "import_lines",
+        "status",
     )

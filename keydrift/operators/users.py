@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from keydrift.operators.changes import DEFAULT_ACTOR
-from keydrift.plans.lookup import BROADCAST_ROWS, look_up
+from keydrift.operators.changes import DEFAULT_ACTOR, admitted
+from keydrift.plans.lookup import look_up
 
 # Roles.
 SUPPORT, DEPLOYER = "support", "deployer"
 
 
-def find_profiles(
-    keys: DataFrame, users: DataFrame, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def find_profiles(keys: DataFrame, users: DataFrame) -> DataFrame:
     """Look up every ``id``: ``status`` is ok, absent or duplicate; only ok has a profile.
 
     ``role`` falls back to ``support`` and a NULL email becomes empty.
@@ -23,7 +21,7 @@ def find_profiles(
         F.min("email").alias("_email"),
         F.min("role").alias("_role"),
     )
-    found = look_up(keys, profiles, "id", max_rows=broadcast_rows)
+    found = look_up(keys, profiles, "id")
     unique = F.col("_n") == 1
     status = F.when(F.col("_n").isNull(), "absent").when(unique, "ok").otherwise("duplicate")
     return found.select(
@@ -34,10 +32,13 @@ def find_profiles(
     )
 
 
-def provision(users: DataFrame, logins: DataFrame) -> DataFrame:
-    """Users plus a ``support`` profile for each login (``id, email, login_at``) without one.
+def provision(users: DataFrame, logins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Users plus a ``support`` profile for each login (``id, email, login_at``) without one, and the
+    profiles refused, with a ``reason``.
 
-    Repeated logins give one profile, from the earliest.
+    Repeated logins give one profile, from the earliest. An email stands for one profile: of new
+    ones that share it the earliest login's is stored, unless a stored profile has it already.
+    Logins without email share the empty one. A refused login still works with the role ``support``.
     """
     first = logins.where(F.col("id").isNotNull()).groupBy("id").agg(
         F.min(F.struct("login_at", "email")).alias("first")
@@ -51,17 +52,13 @@ def provision(users: DataFrame, logins: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("update_by"),
         F.col("first.login_at").cast("timestamp").alias("update_at"),
     )
-    return users.unionByName(new.select(*users.columns))
+    judged = admitted(users, new, ("create_at", "id"), not_null=("id", "email"), unique=("email",))
+    stored = users.unionByName(judged.where("reason IS NULL").select(*users.columns))
+    return stored, judged.where("reason IS NOT NULL").select("id", "email", "create_at", "reason")
 
 
-def gate(
-    requests: DataFrame,
-    users: DataFrame,
-    actor: str = "actor",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> tuple[DataFrame, DataFrame]:
-    """Split requests by the actor's role: deployers are allowed, everyone else is denied."""
+def gate(requests: DataFrame, users: DataFrame, actor: str = "actor") -> DataFrame:
+    """Requests with ``allowed``: true for actors that are deployers, false for everyone else."""
     keys = requests.select(F.col(actor).alias("id"), F.struct("*").alias("request"))
-    known = find_profiles(keys, users, broadcast_rows)
-    allowed = F.col("role") == DEPLOYER
-    return known.where(allowed).select("request.*"), known.where(~allowed).select("request.*")
+    known = find_profiles(keys, users)
+    return known.select("request.*", (F.col("role") == DEPLOYER).alias("allowed"))

@@ -4,29 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keydrift.functions.text import JSON_SPACE, is_blank
-from keydrift.functions.tree import is_array, is_object
+from keydrift.functions.text import JSON_SPACE, is_blank, let
+from keydrift.functions.tree import JSON_OPTIONS, is_array, is_object, marked, nesting_depth
 
+# Messages shown for a document.
 INVALID_JSON = "Invalid JSON"
 NOT_AN_OBJECT = "Target is not an object"
+#: For documents that Spark's parser cannot read whether valid or not: a key of 50,000 characters or more,
+#: or about 1,000 levels. Other lengths (of strings, numbers, texts) have no limit of their own.
+BEYOND_LIMITS = "Beyond parser limits"
+LONGEST_NAME, DEEPEST = 50_000, 999
 
 
 def is_valid_json(text: Column) -> Column:
     """Strict validity: exactly one JSON value.
 
-    ``try_parse_json`` alone ignores what follows the first value. The text is therefore placed
-    in an array in front of its own digest: only a single complete value leaves the digest in
-    second place.
+    The marked text, which is what a walk opens later, is placed in an array in front of its own
+    digest: only a single complete value leaves the digest in second and last place.
     """
     digest = F.sha2(text, 256)
-    framed = F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]'))
-    found = F.try_variant_get(F.try_parse_json(framed), "$[1]", "string")
-    return F.coalesce(found == digest, F.lit(False))
+    framed = F.concat(F.lit("["), marked(text), F.lit(',"'), digest, F.lit('"]'))
+    parsed = F.from_json(framed, "array<string>", JSON_OPTIONS)
+    return F.coalesce(
+        let(parsed, lambda values: (F.size(values) == 2) & (F.get(values, F.lit(1)) == digest)), F.lit(False)
+    )
+
+
+def is_beyond_limits(text: Column) -> Column:
+    """Whether a text that could not be parsed has a key or a depth that no text can be parsed with."""
+    long_name = F.rlike(text, F.lit(f'"[^"]{{{LONGEST_NAME - 1},}}"[ \\t\\n\\r]*+:'))
+    return F.coalesce(long_name | (nesting_depth(text) > DEEPEST), F.lit(False))
 
 
 def json_error(text: Column) -> Column:
-    """``Invalid JSON`` for non-blank text that is not one JSON value, else NULL."""
-    return F.when(~is_blank(text) & ~is_valid_json(text), INVALID_JSON)
+    """For non-blank text that is not one JSON value ``Invalid JSON`` or ``Beyond parser limits``, else NULL."""
+    wrong = ~is_blank(text) & ~is_valid_json(text)
+    return F.when(wrong, F.when(is_beyond_limits(text), BEYOND_LIMITS).otherwise(INVALID_JSON))
 
 
 def is_truthy_json(text: Column) -> Column:

@@ -2,57 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_KEYS = 1000
 
-
-def fits_broadcast(
-    frame: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Measure a frame in one aggregation: rows, and bytes of its text plus 16 per column."""
-    if max_rows <= 0:
-        return False
-    texts = [F.octet_length(F.col(n)) for n, t in frame.dtypes if t == "string"]
-    nested = [
-        F.octet_length(F.to_json(F.struct(F.col(n))))
-        for n, t in frame.dtypes
-        if t.startswith(("array", "struct", "map"))
-    ]
-    width = F.lit(16 * len(frame.columns))
-    for size in texts + nested:
-        width = width + F.coalesce(size, F.lit(0))
-    found = frame.agg(F.count("*").alias("n"), F.sum(width).alias("bytes")).first()
-    return found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes
-
-
-def look_up(
-    large: DataFrame,
-    lookup: DataFrame,
-    key: str,
-    max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
-    hot_keys: int = HOT_KEYS,
-) -> DataFrame:
+def look_up(large: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Left join of ``large`` to ``lookup``, which must have one row per ``key``.
 
-    A lookup measured small is broadcast. Otherwise keys that hold more than ``1/hot_keys`` of
-    ``large`` are split off: there are fewer than ``hot_keys`` of them, so their lookup rows can
-    be broadcast and their rows stay where they are. The rest is shuffled, and no key in it is
-    large. Rows without a key match nothing and are not shuffled either.
+    Building it runs no job. At run time adaptive execution knows the lookup's size: a small one is
+    broadcast under the session's threshold; otherwise both sides are shuffled, and the partitions of
+    hot keys (and of rows without a key) are split, which a left join allows for its large side.
     """
-    if fits_broadcast(lookup, max_rows, max_bytes):
-        return large.join(F.broadcast(lookup), key, "left")
-    counts = large.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = large.count()
-    hot = counts.where(F.col("count") * hot_keys > total).select(key)
-    hot_rows = lookup.join(F.broadcast(hot), key, "left_semi")
-    flagged = large.join(
-        F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left"
-    )
-    stay = F.col("_hot").isNotNull() | F.col(key).isNull()
-    kept = flagged.where(stay).drop("_hot").join(F.broadcast(hot_rows), key, "left")
-    moved = flagged.where(~stay).drop("_hot").join(lookup, key, "left")
-    return kept.unionByName(moved)
+    return large.join(lookup, key, "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from keydrift.functions.text import TRIM_CHARS
-from keydrift.plans.workload import SOURCE_JSON, TARGET_JSON
+from keydrift.plans.workload import HARD_TARGET, SOURCE_JSON, TARGET_JSON
 
 PAIRS = f"""pairs AS (SELECT o_orderkey AS pair_id, {TARGET_JSON} AS target_json,
   {SOURCE_JSON} AS source_json FROM orders)"""
@@ -80,7 +80,7 @@ SAVED_QUERIES = """saved AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS tit
   FROM documents)"""
 LISTED = """listed AS (SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, props AS query,
   'HOS-' || (user_id % 20) AS hos_use, CASE WHEN event_id % 500 <> 0 THEN ts END AS create_at
-  FROM events ORDER BY create_at DESC NULLS FIRST, id LIMIT 1000)"""
+  FROM events)"""
 
 PROFILES = """profiles AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS email, c_mktsegment FROM customer
@@ -102,6 +102,30 @@ CHANGES = """feed AS (
     CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE 'note ' || o_orderkey END AS note,
     o_orderpriority AS description FROM orders)"""
 
+NEW_PROFILES = """ranked AS (SELECT id, coalesce(email, '') AS email, login_at,
+    row_number() OVER (PARTITION BY id ORDER BY login_at) AS place
+  FROM logins WHERE id NOT IN (SELECT id FROM stored)),
+new AS (SELECT *, row_number() OVER (PARTITION BY email ORDER BY login_at, id) AS turn,
+    email IN (SELECT email FROM stored) AS taken FROM ranked WHERE place = 1)"""
+
+# What the awkward pairs lack, and how they look when everything is imported, spelled out from their rule.
+HARD = f"""hard AS (SELECT doc_id AS pair_id, doc_id % 7 AS kind, CAST(doc_id AS VARCHAR) AS id,
+  '"' || replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"' AS shown,
+  {HARD_TARGET} AS target_json FROM documents),
+lacks AS (SELECT * FROM (VALUES
+  (0, 0, '2', 's'), (0, 1, '10', 'i'), (0, 2, 'o', 'o'), (0, 3, 'o2', '"w"'),
+  (1, 0, '2', 's'), (1, 1, '10', 'i'), (1, 2, 'o > b', '[{{"x":1}}]'), (1, 3, 'o > d1', 'd1'), (1, 4, 'o2', '"w"'),
+  (2, 0, '10', 'i'), (2, 1, 'o', 'o'), (2, 2, 'o2', '"w"'),
+  (6, 0, '10', 'i'), (6, 1, 'o > a', 'null'), (6, 2, 'o > b', '[{{"x":1}}]'), (6, 3, 'o > d1 > d2 > d3', 'd3'),
+  (6, 4, 'o2', '"w"')) t(kind, seq, path, value))"""
+HARD_TEXT = """'{' || nl || CASE WHEN kind = 2 THEN '  "0": 1,' || nl || '  "1": 2,' || nl ELSE '' END
+  || '  "2": ' || CASE kind WHEN 2 THEN '3' WHEN 6 THEN 'null' ELSE shown END || ',' || nl || '  "10": ' || id || ',' || nl
+  || '  "o": {' || nl || '    "a": ' || CASE WHEN kind = 1 THEN '0' ELSE 'null' END || ',' || nl || '    "b": [' || nl
+  || '      {' || nl || '        "x": 1' || nl || '      }' || nl || '    ],' || nl || '    "d1": {' || nl
+  || '      "d2": {' || nl || '        "d3": {' || nl || '          "d4": {' || nl || '            "d5": {' || nl
+  || '              "d6": ' || id || nl || '            }' || nl || '          }' || nl || '        }' || nl || '      }' || nl
+  || '    }' || nl || '  },' || nl || '  "o2": "w"' || nl || '}'"""
+
 _BLANK = "trim(text, '" + TRIM_CHARS + "') = ''"
 _EVENT_TEXT = """CASE event_id % 5 WHEN 0 THEN props || ' x' WHEN 1 THEN '[' || props || ',null]'
   WHEN 2 THEN '  ' ELSE props END"""
@@ -150,7 +174,11 @@ ORACLE = {
         SELECT pair_id, CASE WHEN t = 4 THEN 'Invalid JSON' END AS target_error,
           CAST(NULL AS VARCHAR) AS source_error, t IN (3, 5) AND s <> 0 AS comparable,
           CASE WHEN t = 3 AND s IN (2, 3) THEN 'Target is not an object' END AS error FROM c""",
-    "catalog_newest_first": f"WITH {LISTED} SELECT id, title, create_at FROM listed",
+    "catalog_newest_first": f"""WITH {LISTED} SELECT id, title, create_at,
+        row_number() OVER (ORDER BY create_at DESC NULLS FIRST, id) AS place
+        FROM (SELECT * FROM listed ORDER BY create_at DESC NULLS FIRST, id LIMIT 1000)""",
+    "catalog_listing": f"WITH {LISTED} SELECT id, title, create_at FROM listed",
+    "catalog_search_empty_term": f"WITH {SAVED_QUERIES} SELECT id, title, hos_use FROM saved",
     "catalog_search_listed": f"""WITH {LISTED} SELECT id, title, query, hos_use FROM listed
         WHERE (contains(lower(title), 'click') OR contains(lower(query), 'click'))
           AND contains(lower(hos_use), 'hos-1')""",
@@ -165,8 +193,12 @@ ORACLE = {
     "catalog_row_counts": """SELECT 'queries' AS catalog, count(*) AS n_rows FROM documents
         UNION ALL SELECT 'notes', count(*) FROM conversations""",
     "changes_checked": f"""WITH {CHANGES} SELECT seq, op, id,
-        CASE WHEN op <> 'D' AND (trim(note) = '' OR trim(description) = '')
-          THEN 'Title/Note and Description fields are required.' END AS reason FROM feed""",
+        CASE WHEN op IS NULL OR op = 'X' THEN 'Unknown operation.'
+          WHEN op <> 'D' AND (trim(note) = '' OR trim(description) = '')
+          THEN 'Title/Note and Description fields are required.' END AS reason
+        FROM (SELECT * REPLACE (CASE seq % 23 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE op END AS op) FROM feed)""",
+    "changes_inserted_without_id": f"""WITH {CHANGES} SELECT note, description, actor AS create_by,
+        happened AS create_at, true AS has_id FROM feed WHERE op = 'I'""",
     "changes_insert_defaults": """SELECT sha256(CAST(doc_id AS VARCHAR)) AS id, source AS title,
           CASE WHEN doc_id % 2 = 0 THEN NULL ELSE nullif(lang, '') END AS hos_use,
           CASE WHEN doc_id % 3 = 1 THEN lang ELSE 'system' END AS create_by,
@@ -204,10 +236,11 @@ ORACLE = {
           CASE WHEN n = 1 THEN n.email ELSE '' END AS profile_email,
           CASE WHEN n = 1 THEN n.role ELSE 'support' END AS role
         FROM logins l LEFT JOIN n ON n.id = l.id""",
-    "users_provisioned": f"""WITH {PROFILES}, ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY login_at)
-          AS place FROM logins WHERE id NOT IN (SELECT id FROM stored))
+    "users_provisioned": f"""WITH {PROFILES}, {NEW_PROFILES}
         SELECT id, email, role, 'system' AS create_by, TIMESTAMP '2023-01-01 00:00:00' AS create_at FROM stored
-        UNION ALL SELECT id, coalesce(email, ''), 'support', 'system', login_at FROM ranked WHERE place = 1""",
+        UNION ALL SELECT id, email, 'support', 'system', login_at FROM new WHERE turn = 1 AND NOT taken""",
+    "users_refused": f"""WITH {PROFILES}, {NEW_PROFILES}
+        SELECT id, email, login_at AS create_at, 'unique: email' AS reason FROM new WHERE turn > 1 OR taken""",
     "users_gate": f"""WITH {PROFILES}, n AS (SELECT id, count(*) AS n, min(role) AS role FROM stored GROUP BY id)
         SELECT login_no, l.id AS actor, coalesce(n = 1 AND role = 'deployer', false) AS allowed
         FROM logins l LEFT JOIN n ON n.id = l.id""",
@@ -229,3 +262,26 @@ ORACLE["merge_import_selected"] = f"""WITH {PAIRS}, facts AS (
   SELECT pair_id, CASE WHEN tier THEN text ELSE target_json END AS merged_json,
     CAST(CAST(tier AS INT) + CAST(status AS INT) AS BIGINT) AS n_imported
   FROM pairs JOIN shown ON k = pair_id"""
+
+ORACLE["history_selected"] = """WITH picks AS (SELECT o_orderkey AS pair_id, o_orderpriority AS p, o_orderstatus AS s
+    FROM orders WHERE o_orderkey % 3 = 0),
+  taken AS (SELECT pair_id, 0 AS batch_seq, 'cust > tier' AS path, '"' || p || '"' AS value_json FROM picks
+    UNION ALL SELECT pair_id, 1, 'status', '"' || s || '"' FROM picks WHERE pair_id % 2 = 0)
+  SELECT pair_id, TIMESTAMP '2024-05-01 00:00:00' AS ts, CAST(batch_seq AS BIGINT) AS batch_seq, path, value_json,
+    'single' AS type, 'Single' AS label FROM taken"""
+ORACLE["hard_missing_keys"] = f"""WITH {HARD} SELECT pair_id, CAST(seq AS BIGINT) AS seq, path,
+    CASE value WHEN 's' THEN shown WHEN 'i' THEN id
+      WHEN 'o' THEN '{{"a":null,"b":[{{"x":1}}],"d1":{{"d2":{{"d3":{{"d4":{{"d5":{{"d6":' || id || '}}}}}}}}}}}}'
+      WHEN 'd1' THEN '{{"d2":{{"d3":{{"d4":{{"d5":{{"d6":' || id || '}}}}}}}}}}'
+      WHEN 'd3' THEN '{{"d4":{{"d5":{{"d6":' || id || '}}}}}}' ELSE value END AS value_json
+  FROM hard JOIN lacks ON lacks.kind = hard.kind"""
+ORACLE["hard_counts"] = f"""WITH {HARD} SELECT pair_id,
+    CAST((SELECT count(*) FROM lacks WHERE lacks.kind = hard.kind) AS BIGINT) AS n_missing,
+    CASE WHEN kind = 3 THEN 'Invalid JSON' END AS status FROM hard"""
+ORACLE["hard_import_all"] = f"""WITH {HARD}, lined AS (SELECT *, chr(10) AS nl FROM hard)
+  SELECT pair_id, CASE WHEN kind IN (3, 4, 5) THEN target_json ELSE {HARD_TEXT} END AS merged_json,
+    CAST((SELECT count(*) FROM lacks WHERE lacks.kind = lined.kind) AS BIGINT) AS n_imported,
+    CASE WHEN kind = 3 THEN 'Invalid JSON' END AS status FROM lined"""
+ORACLE["hard_status"] = f"""WITH {HARD} SELECT pair_id, CASE WHEN kind = 3 THEN 'Invalid JSON' END AS target_error,
+    CAST(NULL AS VARCHAR) AS source_error, kind NOT IN (3, 4) AS comparable,
+    CASE WHEN kind = 5 THEN 'Target is not an object' END AS error FROM hard"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keydrift.functions.text import display_path, is_blank
 from keydrift.operators import catalog, changes, history, lines, members, users
@@ -21,6 +21,10 @@ def shown_ordinal():
     return F.array_join(F.col("ordinal").cast("array<string>"), ".").alias("ordinal")
 
 
+def big_of(column):
+    return column.cast("bigint")
+
+
 def big(name: str):
     return F.col(name).cast("bigint").alias(name)
 
@@ -31,13 +35,13 @@ def diff_missing_keys(spark, folder) -> DataFrame:
 
 
 def diff_counts(spark, folder) -> DataFrame:
-    return missing_counts(w.config_pairs(spark, folder))
+    return missing_counts(w.config_pairs(spark, folder)).drop("status")
 
 
 def diff_same_document(spark, folder) -> DataFrame:
     pairs = w.config_pairs(spark, folder)
     same = pairs.selectExpr("pair_id", "source_json AS target_json", "source_json")
-    return missing_counts(same)
+    return missing_counts(same).drop("status")
 
 
 def diff_source_members(spark, folder) -> DataFrame:
@@ -80,7 +84,7 @@ def merge_leaves_nothing(spark, folder) -> DataFrame:
     merged = import_all(pairs, keep=("pair_id", "source_json")).selectExpr(
         "pair_id", "merged_json AS target_json", "source_json"
     )
-    return missing_counts(merged)
+    return missing_counts(merged).drop("status")
 
 
 def lines_numbered(spark, folder) -> DataFrame:
@@ -112,14 +116,14 @@ def lines_highlighted(spark, folder) -> DataFrame:
 
 
 def _history(spark, folder, kind=history.ALL, condition="true") -> DataFrame:
-    found = missing_keys(w.config_pairs(spark, folder)).where(condition)
+    # Ordered before the walk, which keeps the order: sorting its rows would walk every pair twice.
+    found = missing_keys(w.config_pairs(spark, folder).orderBy("pair_id")).where(condition)
     at = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
     return history.history_rows(found, kind, at)
 
 
 def _shown_history(rows) -> DataFrame:
-    shown = history.newest_history_first(history.with_label(rows))
-    return shown.select("pair_id", "ts", big("batch_seq"), shown_path(), "value_json", "type", "label")
+    return history.with_label(rows).select("pair_id", "ts", big("batch_seq"), shown_path(), "value_json", "type", "label")
 
 
 def history_rows(spark, folder) -> DataFrame:
@@ -130,6 +134,29 @@ def history_single(spark, folder) -> DataFrame:
     return _shown_history(_history(spark, folder, history.SINGLE, "seq = 0"))
 
 
+def history_selected(spark, folder) -> DataFrame:
+    merged = import_selected(w.config_pairs(spark, folder), w.import_choice(spark, folder))
+    at = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
+    return _shown_history(history.import_history(merged, history.SINGLE, at))
+
+
+def hard_missing_keys(spark, folder) -> DataFrame:
+    return missing_keys(w.hard_pairs(spark, folder)).select("pair_id", big("seq"), shown_path(), "value_json")
+
+
+def hard_counts(spark, folder) -> DataFrame:
+    return missing_counts(w.hard_pairs(spark, folder))
+
+
+def hard_import_all(spark, folder) -> DataFrame:
+    merged = import_all(w.hard_pairs(spark, folder))
+    return merged.select("pair_id", "merged_json", big("n_imported"), "status")
+
+
+def hard_status(spark, folder) -> DataFrame:
+    return with_status(w.hard_pairs(spark, folder)).select("pair_id", "target_error", "source_error", "comparable", "error")
+
+
 def history_cleared(spark, folder) -> DataFrame:
     cleared = w.table(spark, folder, "orders").where("o_orderstatus = 'F'")
     kept = history.without_pairs(
@@ -162,9 +189,20 @@ def pair_status(spark, folder) -> DataFrame:
 
 
 def catalog_newest_first(spark, folder) -> DataFrame:
+    """The latest 1,000, as a listing of the latest n shows them."""
+    newest = catalog.newest_first(w.event_queries(spark, folder), cap=1000)
+    place = F.row_number().over(Window.orderBy(F.col("create_at").desc_nulls_first(), "id"))
+    return newest.select("id", "title", "create_at", big_of(place).alias("place"))
+
+
+def catalog_listing(spark, folder) -> DataFrame:
     return catalog.newest_first(w.event_queries(spark, folder)).select("id", "title", "create_at")
 
 
+def catalog_search_empty_term(spark, folder) -> DataFrame:
+    return catalog.search_queries(w.saved_queries(spark, folder)).select("id", "title", "hos_use")
+
+
 def catalog_search_listed(spark, folder) -> DataFrame:
     found = catalog.search_queries(w.event_queries(spark, folder), "CLICK", "hos-1")
     return found.select("id", "title", "query", "hos_use")
@@ -195,13 +233,9 @@ def catalog_row_counts(spark, folder) -> DataFrame:
 
 
 def changes_checked(spark, folder) -> DataFrame:
-    valid, rejected = changes.checked_changes(
-        w.note_changes(spark, folder), ("note", "description"), changes.NOTE_REQUIRED
-    )
-    shown = ["seq", "op", "id"]
-    return valid.select(*shown, F.lit(None).cast("string").alias("reason")).unionByName(
-        rejected.select(*shown, "reason")
-    )
+    feed = w.note_changes(spark, folder)
+    odd = feed.withColumn("op", F.expr("CASE seq % 23 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE op END"))
+    return changes.checked_changes(odd, *changes.NOTE_RULE).select("seq", "op", "id", "reason")
 
 
 def changes_insert_defaults(spark, folder) -> DataFrame:
@@ -226,24 +260,30 @@ def changes_applied(spark, folder) -> DataFrame:
     )
 
 
+def changes_inserted_without_id(spark, folder) -> DataFrame:
+    """Every insert without id becomes a row; updates and deletes without one do nothing."""
+    feed = w.note_changes(spark, folder).withColumn("id", F.lit(None).cast("string"))
+    applied = changes.apply_changes(w.note_snapshot(spark, folder).where("false"), feed, changes.NOTE_FIELDS)
+    return applied.select("note", "description", "create_by", "create_at", (F.length("id") == 36).alias("has_id"))
+
+
 def users_profiles(spark, folder) -> DataFrame:
     found = users.find_profiles(w.logins(spark, folder), w.profiles(spark, folder))
     return found.select("login_no", "id", "status", "profile_email", "role")
 
 
 def users_provisioned(spark, folder) -> DataFrame:
-    stored = w.profiles(spark, folder)
-    return users.provision(stored, w.logins(spark, folder)).select(
-        "id", "email", "role", "create_by", "create_at"
-    )
+    stored, _ = users.provision(w.profiles(spark, folder), w.logins(spark, folder))
+    return stored.select("id", "email", "role", "create_by", "create_at")
+
+
+def users_refused(spark, folder) -> DataFrame:
+    return users.provision(w.profiles(spark, folder), w.logins(spark, folder))[1]
 
 
 def users_gate(spark, folder) -> DataFrame:
     requests = w.logins(spark, folder).selectExpr("login_no", "id AS actor")
-    allowed, denied = users.gate(requests, w.profiles(spark, folder))
-    return allowed.withColumn("allowed", F.lit(True)).unionByName(
-        denied.withColumn("allowed", F.lit(False))
-    )
+    return users.gate(requests, w.profiles(spark, folder))
 
 
 QUERIES = {
@@ -256,6 +296,8 @@ QUERIES = {
         pair_status, catalog_newest_first, catalog_search_listed, catalog_search_everything,
         catalog_search_literal, catalog_search_notes, catalog_facet_values, catalog_row_counts,
         changes_checked, changes_insert_defaults, changes_violations, changes_applied,
-        users_profiles, users_provisioned, users_gate,
+        users_profiles, users_provisioned, users_refused, users_gate, history_selected, hard_missing_keys,
+        hard_counts, hard_import_all, hard_status, catalog_listing, catalog_search_empty_term,
+        changes_inserted_without_id,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keydrift.plans.session import configure
 from keydrift.sources.tables import spread
@@ -22,6 +22,24 @@ TARGET_JSON = """'{' || CASE WHEN o_orderkey % 4 = 1 THEN '"only_target":null,'
  || CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE ',"only_target":null' END || '}'"""
 
 
+# Documents as awkward pairs: index keys, a repeated key, null values, escapes, blanks between tokens, six levels,
+# arrays of objects; targets that are arrays, scalars, blank or no JSON.
+HARD_SOURCE = """' { "10" : ' || doc_id || ',"2":"' || escaped || '", "o":{"a":null,"b":[{"x":1}],
+ "d1":{"d2":{"d3":{"d4":{"d5":{"d6":' || doc_id || '}}}}}},"o2":"v","o2":"w" }'"""
+HARD_TARGET = """CASE doc_id % 7 WHEN 0 THEN '{}' WHEN 1 THEN '{ "o": {"a": 0} }' WHEN 2 THEN '[1,2,3]'
+ WHEN 3 THEN '{bad' WHEN 4 THEN '  ' WHEN 5 THEN '7' ELSE '{"o":{"d1":{"d2":{}}},"2":null}' END"""
+
+
+def hard_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    escaped = F.replace(
+        F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")
+    )
+    documents = spread(table(spark, folder, "documents")).select("doc_id", escaped.alias("escaped"))
+    return documents.selectExpr(
+        "doc_id AS pair_id", f"{HARD_TARGET} AS target_json", f"{HARD_SOURCE} AS source_json"
+    )
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 

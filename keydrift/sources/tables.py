@@ -20,23 +20,34 @@ def scan_users(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_pairs(spark: SparkSession, target_dir: str, source_dir: str) -> DataFrame:
-    """Two folders of JSON files, paired by file name without extension: ``pair_id`` is the
-    name. A name present on one side only gives NULL on the other, which compares as blank."""
+    """Two folders of JSON files, paired by file name without extension: ``pair_id`` is the name.
+
+    A name present on one side only gives NULL on the other, which compares as blank. Where a side
+    has a name with several extensions, the full names are the ids, so that nothing pairs crosswise.
+    """
 
     def side(folder: str, column: str) -> DataFrame:
-        name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+        file = F.col("_metadata.file_name")
+        stem = F.regexp_replace(file, r"\.[^.]*$", "")
         read = spark.read.text(folder, wholetext=True)
-        return read.select(name.alias("pair_id"), F.col("value").alias(column))
+        return read.select(file.alias("file"), stem.alias("stem"), F.col("value").alias(column))
 
     targets, sources = side(target_dir, "target_json"), side(source_dir, "source_json")
-    return targets.join(sources, "pair_id", "full")
+    repeated = [s.groupBy("stem").count().where("count > 1").select("stem") for s in (targets, sources)]
+    repeated = repeated[0].union(repeated[1]).distinct().withColumn("_repeated", F.lit(True))
+
+    def named(frame: DataFrame) -> DataFrame:
+        known = frame.join(repeated, "stem", "left")
+        name = F.when(F.col("_repeated").isNotNull(), F.col("file")).otherwise(F.col("stem"))
+        return known.withColumn("pair_id", name).drop("stem", "file", "_repeated")
+
+    return named(targets).join(named(sources), "pair_id", "full")
 
 
 def write_documents(merged: DataFrame, path: str, as_text: bool = False) -> None:
-    """Printed documents as Parquet, or as one text folder per pair."""
+    """Printed documents as Parquet, or as text files with one JSON object (id, document) per line."""
     if as_text:
-        shown = merged.select("pair_id", "merged_json")
-        shown.write.mode("overwrite").partitionBy("pair_id").text(path)
+        merged.select("pair_id", "merged_json").write.mode("overwrite").json(path)
     else:
         merged.write.mode("overwrite").parquet(path)
 
