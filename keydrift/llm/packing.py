@@ -58,19 +58,18 @@ class WordTokens:
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if OTHER.search(t) else PLAIN.findall(t.lower()) for t in texts]
         known = self.known
-        new = sorted({w for words in split if words for w in words if w not in known})
-        extra = self._ids(new) if new else {}
+        found = [list(map(known.get, words)) if words is not None else [] for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        extra = self._ids(sorted(new)) if new else {}
         if len(known) < REMEMBERED:
             known.update(extra)
-            extra = {}
         out = []
-        for text, words in zip(texts, split, strict=True):
+        for text, words, ids in zip(texts, split, found, strict=True):
             if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            elif extra:
-                out.append(b"".join([known.get(w) or extra[w] for w in words]))
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
+                ids = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            elif None in ids:
+                ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out.append(b"".join(ids))
         return out
 
 
