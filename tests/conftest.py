@@ -19,3 +19,17 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     session.stop()
+
+
+@pytest.fixture
+def monkeypatch_conf(spark):
+    """Set a session setting until the test ends."""
+    before = {}
+
+    def put(key, value):
+        before.setdefault(key, spark.conf.get(key))
+        spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)

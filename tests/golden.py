@@ -45,8 +45,10 @@ GOLDEN = {
     "17": ("5", '{"a":1}', [], None),
     "18": ("{}", '{"toString":1}', [("toString", "1")], '{"toString":1}'),
     "19": ('{"a":"xy"}', '{"a":{"b":1}}', [("a>b", "1")], '{"a":{"b":1}}'),
-    # Values are never compared, arrays on the target side count as empty.
-    "20": ('{"a":[7]}', '{"a":{"b":[]}}', [("a>b", "[]")], '{"a":{"b":[]}}'),
+    # Values are never compared, arrays on the target side have their indexes as keys.
+    "20": ('{"a":[7]}', '{"a":{"b":[]}}', [("a>b", "[]")], '{"a":{"0":7,"b":[]}}'),
+    "20a": ('{"a":[7,{"x":1}]}', '{"a":{"1":{"y":2},"b":1}}', [("a>1>y", "2"), ("a>b", "1")],
+            '{"a":{"0":7,"1":{"y":2,"x":1},"b":1}}'),
     "21": ('{"a":[7]}', '{"a":{}}', [], None),
     # An empty object is no reason to replace a scalar.
     "22": ('{"a":5,"b":1}', '{"a":{},"c":1}', [("c", "1")], '{"a":5,"c":1,"b":1}'),
@@ -86,7 +88,7 @@ GOLDEN = {
         [("4294967294", "9"), ("b>x", '{"k":[[],{}]}'), ("01", "5")],
         '{"3":0,"4294967294":9,"4294967295":0,"b":{"x":{"k":[[],{}]},"y":1},"01":5}',
     ),
-    "27": ("[1]", '{"a":1}', [("a", "1")], '{"a":1}'),
+    "27": ("[1]", '{"a":1,"0":5}', [("a", "1")], '{"0":1,"a":1}'),
     "28": ('{"a":{"b":null}}', '{"a":{"b":null,"b":{"c":"s"}}}', [("a>b>c", '"s"')],
            '{"a":{"b":{"c":"s"}}}'),
 }

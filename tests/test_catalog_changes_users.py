@@ -61,8 +61,8 @@ def replay(snapshot, feed):
     return set(rows.values())
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 200_000])
-def test_apply_changes_equals_replay(spark, broadcast_rows):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_apply_changes_equals_replay(spark, monkeypatch_conf, threshold):
     from datetime import datetime, timedelta
 
     draw = random.Random(7)
@@ -82,22 +82,44 @@ def test_apply_changes_equals_replay(spark, broadcast_rows):
         spark.createDataFrame(snapshot, NOTE),
         spark.createDataFrame(feed, FEED).repartition(5),
         changes.NOTE_FIELDS,
-        broadcast_rows=broadcast_rows,
     )
+    monkeypatch_conf("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert {tuple(r) for r in result.collect()} == expected
 
 
+def test_every_insert_without_id_becomes_a_row(spark):
+    rows = [("I", n, None, "me", None, "same", "same") for n in range(5)]
+    rows += [("U", 9, None, "me", None, "x", "x"), ("D", 10, None, "me", None, None, None), (None, 11, "a", "", None, "n", "d")]
+    feed = spark.createDataFrame(rows, FEED)
+    empty = spark.createDataFrame([], NOTE)
+    first, again = (sorted(ids(changes.apply_changes(empty, feed, changes.NOTE_FIELDS))) for _ in range(2))
+    assert len(set(first)) == 5 and None not in first and first == again
+
+
+def test_admitted_rows_break_no_constraint(spark):
+    schema = "id string, email string, n int"
+    stored = spark.createDataFrame([("1", "a", 0)], schema)
+    rows = spark.createDataFrame(
+        [("2", "b", 2), ("3", "b", 1), ("1", "c", 3), ("4", "a", 4), (None, "d", 5), ("5", None, 6), ("6", "e", 7)], schema
+    )
+    judged = changes.admitted(stored, rows, ("n",), not_null=("id", "email"), unique=("id", "email"))
+    reasons = {r.n: r.reason for r in judged.collect()}
+    assert reasons == {
+        1: None, 2: "unique: email", 3: "unique: id", 4: "unique: email", 5: "not null: id", 6: "not null: email", 7: None
+    }
+    result = stored.unionByName(judged.where("reason IS NULL").drop("reason"))
+    assert changes.violations(result, ("id", "email"), ("id", "email")).isEmpty()
+
+
 def test_checks_and_defaults(spark):
     feed = spark.createDataFrame(
         [("I", 1, "a", "", None, " \t", "x"), ("U", 2, "b", "", None, "n", "d"),
-         ("D", 3, "c", "", None, None, None)],
+         ("D", 3, "c", "", None, None, None), (None, 4, "d", "", None, "", "x"), ("X", 5, "e", "", None, "n", "d")],
         FEED,
     )
-    valid, rejected = changes.checked_changes(
-        feed, ("note", "description"), changes.NOTE_REQUIRED
-    )
-    assert sorted(ids(valid)) == ["b", "c"]
-    assert [(r.id, r.reason) for r in rejected.collect()] == [("a", changes.NOTE_REQUIRED)]
+    checked = {r.id: r.reason for r in changes.checked_changes(feed, *changes.NOTE_RULE).collect()}
+    unknown = changes.UNKNOWN_OPERATION
+    assert checked == {"a": changes.NOTE_REQUIRED, "b": None, "c": None, "d": unknown, "e": unknown}
     (row,) = changes.with_insert_defaults(
         spark.createDataFrame([("t", "q", "", "")], "title string, query string, hos_use string, actor string")
     ).collect()
@@ -112,14 +134,15 @@ def test_checks_and_defaults(spark):
     }
 
 
-@pytest.mark.parametrize("max_rows", [0, 100])
-def test_look_up_with_a_hot_key(spark, max_rows):
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_look_up_with_a_hot_key(spark, monkeypatch_conf, threshold):
+    monkeypatch_conf("spark.sql.autoBroadcastJoinThreshold", threshold)
     rows = [("hot", i) for i in range(300)] + [(f"k{i}", i) for i in range(300)] + [(None, 1)] * 50
     large = spark.createDataFrame(rows, "key string, n int")
     lookup = spark.createDataFrame(
         [("hot", "H")] + [(f"k{i}", f"v{i}") for i in range(0, 300, 2)], "key string, v string"
     )
-    found = look_up(large, lookup, "key", max_rows=max_rows, hot_keys=10).collect()
+    found = look_up(large, lookup, "key").collect()
     assert len(found) == len(rows)
     assert sum(r.v == "H" for r in found) == 300
     assert all(
@@ -149,9 +172,13 @@ def test_users(spark):
          ("1", "z", datetime(2024, 1, 1))],
         "id string, email string, login_at timestamp",
     )
-    new = users.provision(stored, logins).where("id NOT IN ('1', '2', '3')").collect()
+    more = spark.createDataFrame(
+        [("7", None, datetime(2024, 1, 3)), ("8", "b@x", datetime(2024, 1, 3))], "id string, email string, login_at timestamp"
+    )
+    now, refused = users.provision(stored, logins.union(more))
+    new = now.where("id NOT IN ('1', '2', '3')").collect()
     assert [(r.id, r.email, r.role, r.create_by) for r in new] == [("9", "", "support", "system")]
+    assert {(r.id, r.email, r.reason) for r in refused.collect()} == {("7", "", "unique: email"), ("8", "b@x", "unique: email")}
     requests = spark.createDataFrame([(1, "1"), (2, "2"), (3, "9"), (4, "3")], "n int, actor string")
-    allowed, denied = users.gate(requests, stored)
-    assert [r.n for r in allowed.collect()] == [1]
-    assert sorted(r.n for r in denied.collect()) == [2, 3, 4]
+    allowed = {r.n: r.allowed for r in users.gate(requests, stored).collect()}
+    assert allowed == {1: True, 2: False, 3: False, 4: False}

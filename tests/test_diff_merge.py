@@ -122,3 +122,29 @@ def test_large_document(spark):
     (merged,) = import_all(pairs).collect()
     assert list(json.loads(merged.merged_json)) == [f"k{i}" for i in range(keys)]
     assert merged.n_imported == keys // 2
+
+
+def test_documents_at_the_parsers_limits(spark):
+    """Long keys, numbers and strings and deep nesting beside a normal pair: no job fails, no row is lost."""
+    long_key, number, text = "k" * 49_998, "9" * 1200, "x" * 20_000_001
+    sources = {
+        "plain": '{"a":1}',
+        "key": f'{{"{long_key}":1}}',
+        "number": f'{{"a":{number}}}',
+        "string": f'{{"a":"{text}"}}',
+        "deep": '{"a":' * 900 + "1" + "}" * 900,
+        "longer key": '{"%s":1}' % ("k" * 50_000),
+        "deeper": '{"a":' * 1100 + "1" + "}" * 1100,
+        "wrong": '{"a":1',
+    }
+    pairs = spark.createDataFrame([(k, "{}", v) for k, v in sources.items()], "pair_id string, target_json string, source_json string")
+    beyond = {"longer key", "deeper"}
+    found = {r.pair_id: (r.path, len(r.value_json)) for r in missing_keys(pairs).collect()}
+    assert set(found) == set(sources) - beyond - {"wrong"}
+    assert found["key"] == ([long_key], 1) and found["string"][1] == len(text) + 2
+    for frame in (missing_counts(pairs), import_all(pairs)):
+        status = {r.pair_id: r.status for r in frame.collect()}
+        assert {k for k, v in status.items() if v == "Beyond parser limits"} == beyond
+        assert {k for k, v in status.items() if v == "Invalid JSON"} == {"wrong"}
+    errors = {r.pair_id: r.source_error for r in with_status(pairs).collect()}
+    assert {k for k, v in errors.items() if v == "Beyond parser limits"} == beyond

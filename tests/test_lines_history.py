@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from keydrift.operators import history, lines
 from keydrift.operators.diff import missing_keys
-from keydrift.operators.merge import import_all
+from keydrift.operators.merge import import_all, import_selected
 
 PAIR = "pair_id string, target_json string, source_json string"
 
@@ -27,20 +27,41 @@ def test_first_and_exact_line_differ(spark):
     assert marked == {"far": [3], "plain": [3], "escaped": [4]}
 
 
-def test_both_forms_of_first_match_agree(spark):
+def test_first_match_equals_a_plain_search(spark):
     rows = [(name, target, source) for name, (target, source, _, _) in GOLDEN.items()]
     rows.append(("odd", "{}", '{"x":"v","x\\": \\"v":1}'))
+    rows.append(("odder", "{}", '{"a\\"b":1,"a\\\\\\"b":2,"a":"b","a\\": \\"b":[1],"z\\"":0}'))
     merged = import_all(spark.createDataFrame(rows, PAIR)).persist()
-    inside = {
+    texts = {r.pair_id: r.merged_json.split("\n") for r in merged.collect()}
+    found = {
         (r.pair_id, tuple(hit.path)): hit.line_no
         for r in lines.located_lines(merged).collect()
         for hit in r.located
     }
-    joined = lines.first_matching_lines(
-        lines.numbered_lines(merged), lines.exact_lines(merged).select("pair_id", "path")
+    expected = {}
+    for r in lines.exact_lines(merged).collect():
+        start = f'"{r.path[-1]}"'
+        hits = [i for i, line in enumerate(texts[r.pair_id], 1) if line.strip().startswith(start)]
+        if hits:
+            expected[(r.pair_id, tuple(r.path))] = hits[0]
+    assert found == expected
+    assert found[("odd", ('x": "v',))] == 2
+
+
+def test_history_of_a_selected_import(spark):
+    pairs = spark.createDataFrame(
+        [(1, '{"a":{}}', '{"b":{"k":[1]},"a":{"x":"s","y":1.50}}'), (2, "{}", '{"z":1}')],
+        "pair_id long, target_json string, source_json string",
+    )
+    picked = spark.createDataFrame(
+        [(1, ["a", "y"]), (1, ["b"]), (1, ["b", "k"]), (1, ["no"]), (1, ["b"])], "pair_id long, path array<string>"
     )
-    assert {(r.pair_id, tuple(r.path)): r.line_no for r in joined.collect()} == inside
-    assert inside[("odd", ('x": "v',))] == 2
+    merged = import_selected(pairs, picked)
+    rows = history.import_history(merged, history.SINGLE).collect()
+    assert {(r.pair_id, tuple(r.path), r.value_json) for r in rows} == {
+        (1, ("b",), '{"k":[1]}'), (1, ("a", "y"), "1.5")
+    }
+    assert {r.pair_id: r.n_imported for r in merged.collect()} == {1: 2, 2: 0}
 
 
 def test_history(spark, tmp_path):
