@@ -186,7 +186,8 @@ def features(texts: list[str], found: Automaton, classes: np.ndarray) -> np.ndar
     counts = np.zeros((len(texts), len(KINDS)))
     for r, s, g in zip(row, start, grades, strict=True):
         counts[r, 3 if quoted(texts[r], s) else min(int(g), 2)] += 1
-    length = np.log1p(words)[:, None]
+    # Texts without any match all have the same features, whatever their length.
+    length = (np.log1p(words) * (counts.sum(axis=1) > 0))[:, None]
     return np.hstack([np.log1p(counts), counts > 0, np.sqrt(counts / np.maximum(words, 1)[:, None]), length])
 
 
