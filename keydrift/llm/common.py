@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 #: Rows of at most a few dozen bytes that a broadcast may hold; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
 #: Text bytes that a numpy step takes at a time; one longer text is taken whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 #: Rows that go to Python at a time.
 BATCH_ROWS = 2_000
 
@@ -99,7 +101,10 @@ def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        # A worker that waits for its next task gives back what the last one freed.
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
     return frame.mapInArrow(tidy, schema)
 

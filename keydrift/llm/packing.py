@@ -26,7 +26,7 @@ LENGTH, END, WINDOW = 4096, 2, 1 << 20
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
 #: Words whose ids a worker remembers (some 200 bytes each), and bytes of text whose new words are encoded together.
-REMEMBERED, TOGETHER = 400_000, 6_000_000
+REMEMBERED, TOGETHER = 200_000, 3_000_000
 
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
 #: The tokenizer's own split, for texts in which lower case and composition are those of Latin letters.
