@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 from llm_rows import DOCS, edge_rows, rows_of, words
 from pyspark.sql import functions as F
 
+from keydrift.llm import near_dedup
 from keydrift.llm.common import components
 from keydrift.llm.exact_dedup import Deduplicator, exact_duplicates
 from keydrift.llm.near_dedup import near_duplicates, shingle_sets
@@ -97,6 +99,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_near_duplicates_of_crowds_about_the_threshold(spark):
+    docs = []
+    for crowd, (length, changes, copies) in enumerate([(304, 6, 500), (404, 8, 500)]):
+        base = words(700 + crowd, length)
+        for copy in range(copies):
+            draw = random.Random(10_000 * crowd + copy)
+            text = list(base)
+            for place in draw.sample(range(length), changes):
+                text[place] = f"x{copy}y{place}"
+            docs.append((len(docs), " ".join(text)))
+    expected = brute_force(docs)
+    assert 1 < len({c for _, c in expected.values()}) < len(docs)
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected
+
+
+def test_dense_regions_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 40)
+    test_near_duplicates_of_crowds_about_the_threshold(spark)
+
+
 def test_near_duplicates_of_edges(edges, clashing, nothing):
     rows = near_duplicates(edges).collect()
     assert len(rows) == len(edge_rows())
