@@ -25,13 +25,14 @@ from keydrift.llm.common import kept_by_worker, mapped, slices
 LENGTH, END, WINDOW = 4096, 2, 1 << 20
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
-#: Words whose ids a worker remembers (some 200 bytes each), and bytes of text whose new words are encoded together.
-REMEMBERED, TOGETHER = 200_000, 3_000_000
+#: Words of at most LONG characters whose ids a worker remembers (some 200 bytes each), and bytes of text whose new
+#: words are encoded together.
+REMEMBERED, LONG, TOGETHER = 200_000, 64, 3_000_000
 
-_LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
-#: The tokenizer's own split, for texts in which lower case and composition are those of Latin letters.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+#: The tokenizer's own split, for texts of letters whose lower case is one of these letters again.
 PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
-OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\xa0-\\u024f]")
+OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\xa0-\\u012f\\u0131-\\u017f]")
 
 
 class WordTokens:
@@ -44,11 +45,17 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each of the words, which the tokenizer sees as one text of words apart."""
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, words: list[str]) -> dict[str, bytes] | None:
+        """Ids of each of the words, which the tokenizer sees as one text of words apart; None if it splits one of them."""
         encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        places = np.array(encoded.word_ids, np.int64)
+        if len(places) == 0 or places[-1] + 1 != len(words):
+            return None
         ids = np.array(encoded.ids, "<u4").tobytes()
-        ends = 4 * np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(len(words)), side="right")
+        ends = 4 * np.searchsorted(places, np.arange(len(words)), side="right")
         begin, out = 0, {}
         for word, end in zip(words, ends.tolist(), strict=True):
             out[word] = ids[begin:end]
@@ -61,12 +68,12 @@ class WordTokens:
         found = [list(map(known.get, words)) if words is not None else [] for words in split]
         new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
         extra = self._ids(sorted(new)) if new else {}
-        if len(known) < REMEMBERED:
-            known.update(extra)
+        if extra and len(known) < REMEMBERED:
+            known.update((w, ids) for w, ids in extra.items() if len(w) <= LONG)
         out = []
         for text, words, ids in zip(texts, split, found, strict=True):
-            if words is None:
-                ids = [np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+            if words is None or (None in ids and extra is None):
+                ids = [self._whole(text)]
             elif None in ids:
                 ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
             out.append(b"".join(ids))

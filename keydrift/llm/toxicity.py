@@ -1,14 +1,16 @@
 """Toxicity by Levenshtein automata over a lexicon trie, and context windows (operator 9).
 
-The lexicon (whole terms, and stems that many words share) is learned from labelled documents. For every entry
-the words within its edit distance form an automaton; all of them together are intersected with the lexicon's
-trie and made deterministic, so that one table walks the letters of all words of a batch at once. Around each
-match a window of the text tells quotation from abuse: matches between quotation marks or beside words of
-speech are counted apart. A logistic regression, trained in numpy on the counts, gives the score.
+The lexicon (whole terms, and stems that many words share) is learned from all labelled documents. The Levenshtein
+automaton of a word is walked over the lexicon's trie: a state holds the trie's nodes with the fewest edits that lead
+there, and states and steps are made as the words read ask for them, so that the cost follows the texts and not the
+product of all entries. Around each match a window of the text tells quotation from abuse: matches between quotation
+marks or beside words of speech are counted apart. A logistic regression, trained in numpy on the counts, gives the score.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, hashed_sample, if_small, mapped, saved, slices
+from keydrift.llm.common import crc_fold, hashed_sample, if_small, kept_by_worker, mapped, saved, slices
 
-#: Labelled documents of each class that the lexicon and the weights are learned from at most, chosen by hash.
+#: Labelled documents of each class that the weights are learned from at most, chosen by hash.
 SAMPLE = 3000
-#: An entry stands in so many toxic documents of the sample, or in so large a share of them. From these log-odds
-#: on it is strong, below them weak: weak entries also turn up in clean documents, and tell by their density.
-SUPPORT, SHARE, STRONG, WEAK = 4, 0.01, 3.5, 1.2
+#: An entry stands in so many toxic documents. From these log-odds on it is strong, below them weak: weak entries
+#: also turn up in clean documents, and tell by their density.
+SUPPORT, STRONG, WEAK = 4, 3.5, 1.2
+#: The size bound of the lexicon, which every task is given; the most telling entries come first.
+ENTRIES = 50_000
+#: Steps of automata and words with their grades that a worker remembers.
+STEPS, WORDS = 500_000, 200_000
 #: How much likelier an entry's toxic documents are by its own rate than by chance (logarithm of the ratio).
 EVIDENCE = 8.0
 #: Letters of a stem; how many times as many documents as its most frequent word it must be in.
@@ -45,129 +51,136 @@ def reach(entry: str, strong: bool) -> int:
     return 0 if not strong or length <= 4 else 1 if length < 10 else 2
 
 
-@dataclass
-class Automaton:
-    """table[state, letter class] is the next state; state 0 is dead. grade is what a word that ends in the state
-    matches: 0 a strong entry, 1 a weak one, 1 + n one with n edits, 9 nothing. sure: whatever follows, it is 0."""
-
-    letters: dict[str, int]
-    table: np.ndarray
-    grade: np.ndarray
-    sure: np.ndarray
+#: The place behind a stem, where any letters may follow; the grade of a word that matches nothing.
+TAIL, NOTHING = -1, 9
+WORD = re.compile(r"[^\W_]+")
 
 
-#: The place behind a stem, where any letters may follow.
-TAIL = -1
-
-
-def automaton(entries: dict[str, bool]) -> Automaton:
-    """The deterministic automaton of all words within reach of an entry; `x*` matches words that begin with x.
+class Automaton:
+    """The words within reach of an entry; `x*` matches words that begin with x. entries tells which are strong.
 
-    entries tells which are strong. A state is a set of trie nodes, each with the fewest edits that lead there.
+    State 0 is dead, 1 the beginning. Only states that some word came through exist.
     """
-    children: list[dict[str, int]] = [{}]
-    ends: dict[int, list[tuple[bool, bool, int]]] = {}
-    limit = {0: 0, TAIL: 9}
-    for entry, strong in entries.items():
-        node, most = 0, reach(entry, strong)
-        limit[0] = max(limit[0], most)
-        for letter in entry.rstrip("*"):
-            if letter not in children[node]:
-                children[node][letter] = len(children)
-                children.append({})
-            node = children[node][letter]
-            limit[node] = max(limit.get(node, 0), most)
-        ends.setdefault(node, []).append((entry.endswith("*"), strong, most))
-    letters = {c: i + 2 for i, c in enumerate(sorted({c for e in entries for c in e.rstrip("*")}))}
-
-    def grades(node: int, edits: int, stem: bool) -> list[int]:
-        return [1 + edits if edits else int(not strong) for s, strong, most in ends.get(node, ()) if s == stem and edits <= most]
-
-    def closed(states: dict[int, int]) -> frozenset:
+
+    def __init__(self, entries: dict[str, bool]):
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: dict[int, list[tuple[bool, bool, int]]] = {}
+        self.limit = {0: 0, TAIL: NOTHING}
+        for entry, strong in entries.items():
+            node, most = 0, reach(entry, strong)
+            self.limit[0] = max(self.limit[0], most)
+            for letter in entry.rstrip("*"):
+                if letter not in self.children[node]:
+                    self.children[node][letter] = len(self.children)
+                    self.children.append({})
+                node = self.children[node][letter]
+                self.limit[node] = max(self.limit.get(node, 0), most)
+            self.ends.setdefault(node, []).append((entry.endswith("*"), strong, most))
+        self.letters = {c for e in entries for c in e.rstrip("*")}
+        self.known: dict[str, int] = {}
+        self._begin()
+
+    def _begin(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.grades: list[int] = []
+        self.sure: list[bool] = []
+        self.steps: dict[tuple[int, str | None], int] = {}
+        self._numbered(frozenset())
+        self._numbered(self._closed({0: 0}))
+
+    def _graded(self, node: int, edits: int, stem: bool) -> list[int]:
+        return [1 + edits if edits else int(not strong) for s, strong, most in self.ends.get(node, ()) if s == stem and edits <= most]
+
+    def _numbered(self, state: frozenset) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            found = [g for node, edits in state for g in ([edits] if node == TAIL else self._graded(node, edits, False))]
+            self.grades.append(min(found, default=NOTHING))
+            self.sure.append((TAIL, 0) in state)
+        return self.number[state]
+
+    def _closed(self, nodes: dict[int, int]) -> frozenset:
         """With the nodes that deletions of letters of the entry lead to, and the tails of stems that are complete."""
-        todo = [x for x in states.items() if x[0] != TAIL]
+        todo = [x for x in nodes.items() if x[0] != TAIL]
+        tail = nodes.pop(TAIL, NOTHING)
         while todo:
             node, edits = todo.pop()
-            states[TAIL] = min([states.get(TAIL, 9), *grades(node, edits, True)])
-            for child in children[node].values():
-                if edits + 1 <= limit[child] and states.get(child, 9) > edits + 1:
-                    states[child] = edits + 1
+            if node in self.ends:
+                tail = min([tail, *self._graded(node, edits, True)])
+            for child in self.children[node].values():
+                if edits + 1 <= self.limit[child] and nodes.get(child, NOTHING) > edits + 1:
+                    nodes[child] = edits + 1
                     todo.append((child, edits + 1))
-        if states.get(TAIL) == 9:
-            del states[TAIL]
-        return frozenset(states.items())
+        if tail < NOTHING:
+            nodes[TAIL] = tail
+        return frozenset(nodes.items())
 
-    def step(states: frozenset, letter: str | None) -> frozenset:
+    def _step(self, state: int, letter: str | None) -> int:
         after: dict[int, int] = {}
-        for node, edits in states:
+        for node, edits in self.states[state]:
             if node == TAIL:
-                after[TAIL] = edits
+                after[TAIL] = min(edits, after.get(TAIL, NOTHING))
                 continue
-            # the word has a letter more, the same letter, or another one
-            nexts = [(node, edits + 1), *((child, edits + (c != letter)) for c, child in children[node].items())]
-            for n, e in nexts:
-                if e <= limit[n] and after.get(n, 9) > e:
-                    after[n] = e
-        return closed(after)
-
-    begin = closed({0: 0})
-    number, order, rows, grade, sure = {frozenset(): 0, begin: 1}, [frozenset(), begin], [], [], []
-    at = 0
-    while at < len(order):
-        states = order[at]
-        found = [g for node, edits in states for g in ([edits] if node == TAIL else grades(node, edits, False))]
-        grade.append(min(found, default=9))
-        sure.append((TAIL, 0) in states)
-        row = [0]
-        for letter in (None, *letters):
-            after = step(states, letter) if states and not sure[-1] else frozenset()
-            if after not in number:
-                number[after] = len(order)
-                order.append(after)
-            row.append(number[after])
-        rows.append(row)
-        at += 1
-    return Automaton(letters, np.array(rows, np.int32), np.array(grade, np.int8), np.array(sure))
-
-
-PLANE = 0x3000
-
-
-def _classes(found: Automaton) -> np.ndarray:
-    """Of every code point below PLANE: 0 between words, 1 a letter or digit in no entry, else its letter's class."""
-    out = np.zeros(PLANE + 1, np.uint8)
-    for code in range(PLANE):
-        c = chr(code)
-        if c.isalnum():
-            low = c.lower()
-            out[code] = found.letters.get(low, 1) if len(low) == 1 else 1
-    out[PLANE] = 1  # all later code points count as letters
-    return out
-
-
-def matches(texts: list[str], found: Automaton, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, start and grade of every matching word, and the number of words of each row."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = classes[np.minimum(codes, PLANE)]
-    inside = kind > 0
-    starts = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    ends_of = np.cumsum([len(t) + 1 for t in texts])
-    words = np.bincount(np.searchsorted(ends_of, starts, side="right"), minlength=len(texts))
-    state, place = np.ones(len(starts), np.int32), starts.copy()
-    at, hits, grades = np.arange(len(starts)), [], []
-    while len(at):
-        letter = kind[place]
-        over = (letter == 0) | found.sure[state]
-        good = over & (found.grade[state] < 9)
-        hits.append(starts[at[good]])
-        grades.append(found.grade[state[good]])
-        state = found.table[state, letter]
-        go = ~over & (state > 0)
-        at, state, place = at[go], state[go], place[go] + 1
-    hits, grades = np.concatenate(hits or [np.zeros(0, np.int64)]), np.concatenate(grades or [np.zeros(0, np.int8)])
-    row = np.searchsorted(ends_of, hits, side="right")
-    offset = np.concatenate([[0], ends_of])[row]
-    return row, hits - offset, grades, words
+            children = self.children[node]
+            # The word has a letter more, another one, or (without an edit) the same.
+            if edits < self.limit[node] and after.get(node, NOTHING) > edits + 1:
+                after[node] = edits + 1
+            for child in children.values():
+                if edits < self.limit[child] and after.get(child, NOTHING) > edits + 1:
+                    after[child] = edits + 1
+            child = children.get(letter)
+            if child is not None and edits <= self.limit[child] and after.get(child, NOTHING) > edits:
+                after[child] = edits
+        if len(self.steps) >= STEPS:
+            begun = self._closed(after)
+            self._begin()
+            return self._numbered(begun)
+        self.steps[state, letter] = found = self._numbered(self._closed(after))
+        return found
+
+    def grade(self, word: str) -> int:
+        """What a word matches: 0 a strong entry, 1 a weak one, 1 + n one with n edits, NOTHING."""
+        state = 1
+        for letter in word.lower():
+            if self.sure[state]:
+                break
+            letter = letter if letter in self.letters else None
+            after = self.steps.get((state, letter))
+            state = self._step(state, letter) if after is None else after
+            if not state:
+                return NOTHING
+        return self.grades[state]
+
+    def grade_all(self, words: list[str]) -> list[int]:
+        known = self.known
+        if len(known) > WORDS:
+            known.clear()
+        out = list(map(known.get, words))
+        if None in out:
+            for i, g in enumerate(out):
+                if g is None:
+                    word = words[i]
+                    out[i] = self.grade(word)
+                    if len(word) <= 48:
+                        known[word] = out[i]
+        return out
+
+
+def automaton(entries: dict[str, bool]) -> Automaton:
+    """The lexicon's automaton; a worker keeps it with all that it has met."""
+    name = hashlib.sha256(repr(sorted(entries.items())).encode()).hexdigest()
+    return kept_by_worker(f"lexicon {name}", lambda: Automaton(entries))
+
+
+def matches(text: str, found: Automaton) -> tuple[list[tuple[int, int]], int]:
+    """Start and grade of every matching word of a text, and its number of words."""
+    words = WORD.findall(text)
+    grades = found.grade_all(words)
+    if min(grades, default=NOTHING) == NOTHING:
+        return [], len(words)
+    return [(m.start(), g) for m, g in zip(WORD.finditer(text), grades, strict=True) if g < NOTHING], len(words)
 
 
 def quoted(text: str, start: int) -> bool:
@@ -180,12 +193,13 @@ def quoted(text: str, start: int) -> bool:
     return any(w.strip(".,:;") in SPEECH for w in before.lower().split()[-4:])
 
 
-def features(texts: list[str], found: Automaton, classes: np.ndarray) -> np.ndarray:
+def features(texts: list[str], found: Automaton) -> np.ndarray:
     """For each text and kind of match the logarithm of its count, whether there is one, and the root of its density."""
-    row, start, grades, words = matches(texts, found, classes)
-    counts = np.zeros((len(texts), len(KINDS)))
-    for r, s, g in zip(row, start, grades, strict=True):
-        counts[r, 3 if quoted(texts[r], s) else min(int(g), 2)] += 1
+    counts, words = np.zeros((len(texts), len(KINDS))), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        hits, words[i] = matches(text, found)
+        for start, grade in hits:
+            counts[i, 3 if quoted(text, start) else min(grade, 2)] += 1
     # Texts without any match all have the same features, whatever their length.
     length = (np.log1p(words) * (counts.sum(axis=1) > 0))[:, None]
     return np.hstack([np.log1p(counts), counts > 0, np.sqrt(counts / np.maximum(words, 1)[:, None]), length])
@@ -194,7 +208,6 @@ def features(texts: list[str], found: Automaton, classes: np.ndarray) -> np.ndar
 @dataclass
 class Model:
     entries: dict[str, bool]
-    found: Automaton
     weights: np.ndarray
     bias: float
 
@@ -202,11 +215,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """text, toxic of at most SAMPLE labelled documents of each class, and how many there are of each."""
+def _known(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the labelled documents of the training folds."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 2))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = saved(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
+    return saved(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
+
+
+def _sample(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """text, toxic of at most SAMPLE labelled documents of each class, and how many there are of each."""
     counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [hashed_sample(known.where(F.col("toxic") == c), SAMPLE, "doc_id") for c in (0, 1)]
     picked = saved(picked[0].union(picked[1]), "picked-labels")
@@ -214,35 +231,49 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     return saved(texts.select("doc_id", "text", "toxic"), "labelled"), counts
 
 
-def lexicon(sample: DataFrame) -> dict[str, bool]:
-    """Terms and stems (`x*`) that tell the sample's toxic documents, and whether they are strong.
+def _entries(docs: DataFrame, known: DataFrame, toxic: int) -> DataFrame:
+    """entry, once for each labelled document of a class that it stands in: words of three letters and more, and stems."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+")), lambda w: F.length(w) >= 3)
+    stems = [F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, F.lit(1), F.lit(n)), F.lit("*"))) for n in STEMS]  # noqa: B023
+    some = docs.select("doc_id", "text").join(if_small(known.where(F.col("toxic") == toxic).select("doc_id")), "doc_id")
+    return some.select(F.explode(F.array_distinct(F.concat(words, *stems))).alias("entry"))
 
-    Spark counts documents per word and stem; those with enough support come back, the best 2000 of them.
+
+def lexicon(docs: DataFrame, known: DataFrame) -> dict[str, bool]:
+    """Terms and stems (`x*`) that tell toxic documents, and whether they are strong.
+
+    Spark counts documents per word and stem over all that are labelled: in toxic ones first, and in clean ones
+    only what has support. At most ENTRIES come back.
     """
-    words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))
-    each = sample.select("toxic", "doc_id", F.explode(words).alias("word")).where(F.length("word") >= 3)
-    stems = F.array(*[F.when(F.length("word") > n, F.concat(F.substring("word", F.lit(1), F.lit(n)), F.lit("*"))) for n in STEMS])
-    counts = [F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")]
-    whole = each.groupBy(F.col("word").alias("entry")).agg(*counts)
-    begun = each.select("toxic", "doc_id", F.explode(stems).alias("entry")).where("entry is not null")
-    begun = begun.groupBy("entry", "doc_id").agg(F.max("toxic").alias("toxic")).groupBy("entry").agg(*counts)
-    toxic, clean = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
+    counts = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    bad = _entries(docs, known, 1).groupBy("entry").agg(F.count("*").alias("bad")).where(F.col("bad") >= SUPPORT)
+    bad = saved(bad, "toxic-entries")
+    good = _entries(docs, known, 0).join(if_small(bad.select("entry")), "entry").groupBy("entry").agg(F.count("*").alias("good"))
+    rows = bad.join(good, "entry", "left").withColumn("good", F.coalesce("good", F.lit(0)))
     odds = F.log((F.col("bad") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(clean + 1.0))
     chance = (F.col("bad") + F.col("good")) * F.lit(toxic / max(1, toxic + clean))
     evidence = F.col("bad") * F.log(F.col("bad") / chance) - F.col("bad") + chance
-    rows = whole.union(begun).where(F.col("bad") >= max(SUPPORT, SHARE * toxic)).where(evidence >= EVIDENCE)
-    rows = rows.withColumn("odds", odds).where(F.col("odds") >= WEAK)
-    rows = {r.entry: r for r in rows.orderBy(F.desc(F.col("odds") * F.col("bad")), "entry").limit(2000).collect()}
+    rows = rows.where(evidence >= EVIDENCE).withColumn("odds", odds).where(F.col("odds") >= WEAK)
+    rows = {r.entry: r for r in rows.orderBy(F.desc(F.col("odds") * F.col("bad")), "entry").limit(ENTRIES).collect()}
+    fullest: dict[str, int] = {}
+    for word in (e for e in rows if not e.endswith("*")):
+        for n in STEMS:
+            fullest[word[:n]] = max(rows[word].bad, fullest.get(word[:n], 0))
     kept: dict[str, bool] = {}
+
+    def covered(entry: str, strong: bool) -> bool:
+        """Whether a stem that is kept, as strong at least, begins the entry."""
+        found = [kept.get(entry[:n] + "*") for n in STEMS if n < len(entry)]
+        return any(k is not None and (k or not strong) for k in found)
+
     for entry in sorted((e for e in rows if e.endswith("*")), key=lambda e: (len(e), e)):
-        fullest = max([r.bad for e, r in rows.items() if not e.endswith("*") and e.startswith(entry[:-1])], default=0)
         strong = rows[entry].odds >= STRONG
-        covered = [k for k in kept if entry.startswith(k[:-1]) and (kept[k] or not strong)]
-        if rows[entry].bad >= SHARED * fullest and not covered:
+        if rows[entry].bad >= SHARED * fullest.get(entry[:-1], 0) and not covered(entry[:-1], strong):
             kept[entry] = strong
     for entry in sorted(e for e in rows if not e.endswith("*")):
         strong = rows[entry].odds >= STRONG
-        if not any(entry.startswith(k[:-1]) and (kept[k] or not strong) for k in kept if k.endswith("*")):
+        if not covered(entry + " ", strong):
             kept[entry] = strong
     return kept
 
@@ -263,22 +294,22 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-3)
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Lexicon and weights from the training folds; labels (doc_id, toxic) of 0 and 1 count, null ids don't."""
-    sample, counts = _sample(docs, labels)
-    entries = lexicon(sample)
-    found = automaton(entries)
+    known = _known(docs, labels)
+    sample, counts = _sample(docs, known)
+    entries = lexicon(docs, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _classes(found)
+        found = automaton(entries)
         for batch in batches:
             for part in slices(batch, "text"):
-                x = features(part.column("text").to_pylist(), found, classes)
+                x = features(part.column("text").to_pylist(), found)
                 columns = [pa.array(x[:, i]) for i in range(len(FEATURES))]
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), *columns], names=["toxic", *FEATURES])
 
     kinds = ", ".join(f"{f} double" for f in FEATURES)
     rows = sample.select("text", "toxic").transform(mapped, run, f"toxic int, {kinds}").collect()  # at most 2 * SAMPLE rows of numbers
     if len(counts) < 2:
-        return Model(entries, found, np.zeros(len(FEATURES)), 4.0 if counts.get(1) else -4.0)
+        return Model(entries, np.zeros(len(FEATURES)), 4.0 if counts.get(1) else -4.0)
     rows = np.array(sorted(tuple(r) for r in rows), float)
     y, x = rows[:, 0], rows[:, 1:]
     share = {c: counts[c] / sum(counts.values()) / max(1, (y == c).sum()) * len(y) for c in (0, 1)}
@@ -290,7 +321,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         weights, bias = _fit(x * used, y, weight)
         down = only_up & (weights < 0)
         if not down.any():
-            return Model(entries, found, weights, bias)
+            return Model(entries, weights, bias)
         used &= ~down
 
 
@@ -298,10 +329,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for every row, from the whole text alone; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = _classes(model.found)
+        found = automaton(model.entries)
         for batch in batches:
             for part in slices(batch, "text"):
-                x = features(part.column("text").fill_null("").to_pylist(), model.found, classes)
+                x = features(part.column("text").fill_null("").to_pylist(), found)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, "doc_id long, score double")

@@ -63,8 +63,7 @@ def edits(a, b):
 
 def test_automaton_equals_edit_distances():
     entries = {"idiot": True, "worthless": True, "disgusting": True, "scum": True, "lowei*": True, "réeuxa*": True, "achl*": False}
-    found = toxicity.automaton(entries)
-    classes = toxicity._classes(found)
+    found = toxicity.Automaton(entries)
     draw = random.Random(5)
     tried = []
     for entry in entries:
@@ -75,8 +74,8 @@ def test_automaton_equals_edit_distances():
                 word[at : at + draw.randrange(2)] = draw.choice(["", "x", "é", "i", "o", "1"])
             tried.append("".join(word))
     tried = [w for w in tried if w]
-    row, start, grades, counts = toxicity.matches([" ".join(tried)], found, classes)
-    got = dict(zip(start.tolist(), grades.tolist(), strict=True))
+    hits, count = toxicity.matches(" ".join(tried), found)
+    got = dict(hits)
     place = 0
     for word in tried:
         grade = 9
@@ -90,7 +89,28 @@ def test_automaton_equals_edit_distances():
                 grade = min(grade, 1 + n if n else int(not strong))
         assert got.get(place, 9) == grade, word
         place += len(word) + 1
-    assert counts[0] == len(tried)
+    assert count == len(tried)
+
+
+def test_words_of_any_script_and_beside_signs():
+    found = toxicity.Automaton({"나쁜놈": True, "scum": True, "worthless": True, "ばか": True, "笨蛋": True})
+    for text, start in (("나쁜놈", 0), ("이 나쁜놈!", 2), ("scum😀", 0), ("scum。", 0), ("😀😀worthless😀😀", 2), ("ばか、", 0), ("(笨蛋)", 1), ("x\U0001f600Worthles", 2)):
+        assert [at for at, _ in toxicity.matches(text, found)[0]] == [start], text
+    assert toxicity.matches("나쁜 놈 scumx", found)[0] == []
+
+
+def test_many_letters_and_many_long_entries(monkeypatch):
+    draw = random.Random(2)
+    wide = {"".join(chr(0xAC00 + draw.randrange(3000)) for _ in range(4)): True for _ in range(300)}
+    found = toxicity.Automaton(wide)
+    assert len(found.letters) > 300 and found.grade_all(list(wide)) == [0] * len(wide)
+    long = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(11)) for _ in range(2000)]
+    found = toxicity.Automaton(dict.fromkeys(long, True))
+    tried = [w[:4] + w[5:] for w in long[:40]] + [w[:2] + "é" + w[2:9] + w[10:] for w in long[:20]] + [w[::-1] for w in long[:20]]
+    want = [min([1 + n if n else 0 for n in (edits(e, w)[-1] for e in long) if n <= 2], default=9) for w in tried]
+    assert found.grade_all(tried) == want
+    monkeypatch.setattr(toxicity, "STEPS", 50)  # forgotten steps are made again
+    assert toxicity.Automaton(dict.fromkeys(long, True)).grade_all(tried) == want
 
 
 def test_quotation_is_told_by_its_context():
@@ -120,7 +140,31 @@ def test_toxicity_of_held_out_documents(judged):
     assert all(r.predicted == toxic[r.doc_id] for r in rows if r.held_out)
     model = toxicity.learn(docs, labels)
     assert {"idiot", "moron", "scum"} <= set(model.entries)
-    assert all(toxicity.features([w], model.found, toxicity._classes(model.found))[0][2] > 0 for w in ("idiott", "mor0n"))
+    assert all(toxicity.features([w], toxicity.automaton(model.entries))[0][2] > 0 for w in ("idiott", "mor0n"))
+
+
+def test_terms_outside_the_sample_are_learned(spark, monkeypatch):
+    """A term in few of many toxic documents is found, however small the sample for the weights."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)
+    docs = [(i, " ".join(words(i, 40)) + (" rarest" if i % 60 == 0 else " moron" if i % 6 == 0 else "")) for i in range(1500)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i, _ in docs], "doc_id long, toxic int")
+    assert {"rarest", "moron"} <= set(toxicity.learn(rows, labels).entries)
+
+
+def test_quotation_scores_lower_than_abuse(spark):
+    """The same term, thrown at someone in toxic documents and quoted in clean ones."""
+    docs, labels = [], []
+    for i in range(900):
+        text = words(i, 40)
+        text[20] = "moron" if i % 4 == 0 else 'he said "moron" again' if i % 36 == 1 else text[20]
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    base = " ".join(words(5000, 30))
+    tried = spark.createDataFrame([(1, base + " moron"), (2, base + ' he said "moron" again'), (3, base)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in toxicity.scored(tried, model).collect()}
+    assert score[1] > 0.9 and score[2] < 0.3 and score[3] <= score[2]
 
 
 def test_toxicity_of_edges(spark, judged, edges, clashing, nothing):

@@ -181,3 +181,39 @@ def test_no_conversations(spark):
 
 
 assert hashlib
+
+
+def test_odd_letters_leave_other_documents_right(spark):
+    """Every code point beside a letter, a digit and a quote, then ordinary documents by the same worker."""
+    import sys
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from keydrift.llm.packing import LONG, WordTokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    tokens = WordTokens(path)
+    odd = [f'a{c}a {c}1{c}!{c}"{c}" {c}li ({c})' for c in map(chr, range(1, sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff"]
+    odd = ["".join(odd[i : i + 400]) for i in range(0, len(odd), 400)] + odd[:0x300] + ["Əli", "(Ɛ)", "!Ə", "BAKI ŞƏHƏRİ", "x" * 9000]
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(400).collect()]
+    texts = [t for i, t in enumerate(odd) for t in (t, texts[i % len(texts)][:300])] + texts
+    for i in range(0, len(texts), 500):
+        part = texts[i : i + 500]
+        for text, ids, want in zip(part, tokens(part), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
+    assert max(map(len, tokens.known)) <= LONG
+
+
+def test_a_lot_that_is_split_otherwise_is_not_remembered():
+    import public_tokenizers
+
+    from keydrift.llm.packing import WordTokens
+
+    tokens = WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    assert tokens._ids(["plain", "two words"]) is None
+    want = tokens._whole("some text")
+    tokens._ids = lambda words: None
+    assert tokens(["some text"]) == [want] and not tokens.known
