@@ -24,9 +24,11 @@ BATCH_ROWS = 2_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a folder of this machine."""
+    """A new folder below spark.checkpoint.dir; a folder of this machine only where that is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
@@ -55,6 +57,11 @@ def crc_fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def text_digest() -> Column:
+    """The text's digest, which with doc_id names a row; null counts as empty."""
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("text_sha256")
+
+
 def hashed_sample(frame: DataFrame, rows: int, *columns: str) -> DataFrame:
     """At most so many rows, those with the smallest hash of the columns. A first cut by hash leaves little more
     than that, so no task passes on a sample of its own size."""

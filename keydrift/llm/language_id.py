@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, hashed_sample, mapped, slices, utf8
+from keydrift.llm.common import crc_fold, hashed_sample, mapped, slices, text_digest, utf8
 
 #: Bytes of a window, widths of filters, filters of each width; languages that can't be told.
 WINDOW, WIDTHS, FILTERS, UNKNOWN = 256, (2, 3, 4), 16, "und"
@@ -144,7 +144,7 @@ def learn(docs: DataFrame, rows: int = SAMPLE) -> Network | None:
 
 
 def identified(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row: the language of the whole text, and its mean probability.
+    """doc_id, lang_pred, score, text_sha256 for every row: the language of the whole text, and its mean probability.
 
     Null texts and texts without a letter are `und` with score 0. Only doc_id and text are read.
     """
@@ -167,18 +167,19 @@ def identified(docs: DataFrame, net: Network | None) -> DataFrame:
                     languages = [net.languages[b] if t else UNKNOWN for b, t in zip(best, told, strict=True)]
                     scores = np.where(told, np.clip(mean.max(axis=1), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64())],
-                    names=["doc_id", "lang_pred", "score"],
+                    [part.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), part.column("text_sha256")],
+                    names=["doc_id", "lang_pred", "score", "text_sha256"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("lettered"))
-    return rows.transform(mapped, run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("lettered"), text_digest())
+    return rows.transform(mapped, run, "doc_id long, lang_pred string, score double, text_sha256 string")
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """Learn from docs (doc_id, text, lang) and predict each row: doc_id, held_out, lang_pred, score.
+    """Learn from docs (doc_id, text, lang) and predict each row: doc_id, held_out, lang_pred, score,
+    text_sha256 (which names the row where its doc_id does not).
 
     Learns from folds other than the held-out one only; rows are predicted one by one, repeated ones too. A null
     doc_id counts as the empty text for the fold.
     """
-    return identified(docs, learn(docs)).select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+    return identified(docs, learn(docs)).select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score", "text_sha256")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import crc_fold, hashed_sample, if_small, kept_by_worker, mapped, saved, slices
+from keydrift.llm.common import crc_fold, hashed_sample, if_small, kept_by_worker, mapped, saved, slices, text_digest
 
 #: Labelled documents of each class that the weights are learned from at most, chosen by hash.
 SAMPLE = 3000
@@ -326,23 +326,24 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score for every row, from the whole text alone; null counts as empty."""
+    """doc_id, score, text_sha256 for every row, from the whole text alone; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(model.entries)
         for batch in batches:
             for part in slices(batch, "text"):
                 x = features(part.column("text").fill_null("").to_pylist(), found)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(x)), part.column("text_sha256")], names=["doc_id", "score", "text_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_digest())
+    return rows.transform(mapped, run, "doc_id long, score double, text_sha256 string")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn and score: doc_id, held_out, score, predicted for every row of docs, repeated rows one by one.
+    """Learn and score: doc_id, held_out, score, predicted, text_sha256 for every row of docs, repeated rows one by one.
 
     Empty and null texts have the score of a document without matches. A null doc_id counts as the empty text
     for the fold. Where only one class is labelled all rows get its score; without labels all are clean.
     """
     rows = scored(docs, learn(docs, labels))
-    return rows.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    return rows.select("doc_id", (crc_fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "text_sha256")
