@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keydrift.llm.common import if_small, saved
+from keydrift.llm.common import if_small, saved, text_digest
 from keydrift.llm.exact_dedup import exact_duplicates, normalised, sha256
 from keydrift.llm.language_id import UNKNOWN, languages
 from keydrift.llm.near_dedup import near_duplicates
@@ -28,22 +29,31 @@ def _documents(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Data
 
 
 def _without(docs: DataFrame, rejected: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that no rejected row has the keys of; a null matches nothing, so rows without doc_id stay."""
-    return docs.join(if_small(saved(rejected.select(keys).distinct(), "rejected")), keys, "left_anti")
+    """The rows that no rejected row equals in the keys, nulls taken as equal."""
+    rejected = if_small(saved(rejected.select([F.col(k).alias(f"_{k}") for k in keys]).distinct(), "rejected"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return docs.join(rejected, same, "left_anti")
+
+
+def _judged(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose text is not rejected under their doc_id: another text of that id, or of no id, stays."""
+    names = docs.columns
+    named = docs.withColumn("_text", text_digest())
+    return _without(named, rejected.select("doc_id", F.col("text_sha256").alias("_text")), ["doc_id", "_text"]).select(names)
 
 
 def language_id(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; it is learned from the documents' own labels."""
     docs = _documents(spark, docs, sf_dir)
     unclear = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < SURE)
-    return _without(docs, languages(docs).where(unclear), ["doc_id"]).select(docs.columns)
+    return _judged(docs, languages(docs).where(unclear))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     docs = _documents(spark, docs, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxic_documents(docs, labels).where("predicted = 1"), ["doc_id"]).select(docs.columns)
+    return _judged(docs, toxic_documents(docs, labels).where("predicted = 1"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
@@ -56,15 +66,25 @@ def exact_dedup(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> Dat
     if not again.isEmpty():
         repeated = again.select("doc_id", "text_sha256").distinct()
         single = _without(kept, repeated, ["doc_id", "text_sha256"])
-        first = kept.join(repeated, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+        same = kept["doc_id"].eqNullSafe(repeated["doc_id"]) & (kept["text_sha256"] == repeated["text_sha256"])
+        first = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_sha256"])
         kept = single.unionByName(first)
     return kept.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Where ids don't tell rows apart (null ones, or an id of several texts) rows are numbered in their place.
+    """
     docs = _documents(spark, docs, sf_dir)
-    return _without(docs, near_duplicates(docs).where("not kept"), ["doc_id"]).select(docs.columns)
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids.n == ids.ids:
+        return _without(docs, near_duplicates(docs).where("not kept"), ["doc_id"]).select(docs.columns)
+    named = saved(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    numbered = named.select(F.col("_row").alias("doc_id"), "text")
+    left = near_duplicates(numbered).where("not kept").select(F.col("doc_id").alias("_row"))
+    return _without(named, left, ["_row"]).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame | None, sf_dir: str) -> DataFrame:
