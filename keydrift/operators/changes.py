@@ -14,6 +14,7 @@ NOTE_REQUIRED = "Title/Note and Description fields are required."
 DEFAULT_ACTOR = "system"
 
 UNKNOWN_OPERATION = "Unknown operation."
+NO_SEQ = "A change needs a seq."
 
 # What a saved query or note needs, and why it is rejected without.
 QUERY_FIELDS = ("title", "query", "hos_use")
@@ -30,11 +31,12 @@ def checked_changes(changes: DataFrame, required: tuple[str, ...], reason: str)
     """Changes with a ``reason`` to reject them, NULL for valid ones; split them at the sink.
 
     ``op`` must be I, U or D. An insert or update needs every required field non-blank; a delete
-    needs none.
+    needs none. Every change needs a ``seq``, without which it has no place among the others.
     """
     blank = reduce(lambda a, b: a | b, (is_blank(F.col(name)) for name in required))
     known = F.coalesce(F.col("op").isin("I", "U", "D"), F.lit(False))
     wrong = F.when(~known, UNKNOWN_OPERATION).when((F.col("op") != "D") & blank, reason)
+    wrong = wrong.when(F.col("seq").isNull(), NO_SEQ)
     return changes.withColumn("reason", wrong)
 
 
@@ -138,7 +140,9 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, fields: tuple[str, ..
     Per id, in ``seq`` order: an insert creates the row unless it exists, an update sets all
     ``fields`` of an existing row and keeps its creation columns, a delete removes it. Changes to
     unknown ids, updates and deletes without id and unknown operations do nothing; an insert without
-    id gets one. Instead of replaying a hot id's changes in one task, its last delete is found first,
+    id gets one. Changes without ``seq``, which :func:`checked_changes` refuses, do nothing. Of one
+    id's changes with equal ``seq`` deletes come first, then inserts, then updates, each by their
+    content (``at``, ``actor``, ``fields``; NULL first). Instead of replaying a hot id's changes in one task, its last delete is found first,
     then the first insert and the last update after that; both aggregations combine before the
     shuffle, and a hot id is the large side of a plain join, which adaptive execution splits.
     """
@@ -146,15 +150,15 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, fields: tuple[str, ..
         none_if_empty(F.col(name)).alias(name) if name == "hos_use" else F.col(name)
         for name in fields
     ]
-    events = with_own_ids(changes, fields).where("id IS NOT NULL").select(
+    events = with_own_ids(changes, fields).where("id IS NOT NULL AND seq IS NOT NULL").select(
         "op", "seq", "id", "at", actor_or_default(F.col("actor")).alias("actor"), *values
     )
-    row = F.struct("seq", "actor", "at", *fields)
+    row = F.struct("seq", "at", "actor", *fields)
     deletes = events.where("op = 'D'").groupBy("id").agg(F.max("seq").alias("deleted"))
-    after = events.where("op <> 'D'").join(deletes, "id", "left").where("deleted IS NULL OR seq > deleted")
+    after = events.where("op <> 'D'").join(deletes, "id", "left").where("deleted IS NULL OR seq >= deleted")
     living = after.groupBy("id").agg(
-        F.min_by(row, F.when(F.col("op") == "I", F.col("seq"))).alias("insert"),
-        F.max_by(row, F.when(F.col("op") == "U", F.col("seq"))).alias("last_update"),
+        F.min(F.when(F.col("op") == "I", row)).alias("insert"),
+        F.max(F.when(F.col("op") == "U", row)).alias("last_update"),
     )
     summary = deletes.join(living, "id", "full")
 
@@ -166,7 +170,7 @@ def apply_changes(snapshot: DataFrame, changes: DataFrame, fields: tuple[str, ..
     began = F.when(survives, F.lit(None)).otherwise(created["seq"])
     update = F.when(
         F.col("last_update").isNotNull()
-        & (survives | (F.col("last_update.seq") > began)),
+        & (survives | (F.col("last_update.seq") >= began)),
         F.col("last_update"),
     )
     settled = both.where(survives | F.col("insert").isNotNull()).select(

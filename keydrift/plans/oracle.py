@@ -130,6 +130,32 @@ _BLANK = "trim(text, '" + TRIM_CHARS + "') = ''"
 _EVENT_TEXT = """CASE event_id % 5 WHEN 0 THEN props || ' x' WHEN 1 THEN '[' || props || ',null]'
   WHEN 2 THEN '  ' ELSE props END"""
 
+
+def _applied(feed: str) -> str:
+    """Replay row by row: what the last insert or delete before an event left decides its effect."""
+    return f"""WITH {feed}, base AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS note,
+          c_mktsegment AS description FROM customer),
+        seen AS (SELECT f.*, b.id IS NOT NULL AS stored, lag(CASE WHEN op <> 'U' THEN op END IGNORE NULLS)
+            OVER (PARTITION BY f.id ORDER BY seq) AS before FROM feed f LEFT JOIN base b ON b.id = f.id),
+        judged AS (SELECT *, CASE WHEN before IS NULL THEN stored ELSE before = 'I' END AS existed FROM seen),
+        effective AS (SELECT * FROM judged
+          WHERE (op = 'I' AND NOT existed) OR (op <> 'I' AND existed)),
+        lives AS (SELECT *, count(CASE WHEN op <> 'U' THEN 1 END) OVER (PARTITION BY id ORDER BY seq) AS life
+          FROM effective),
+        closing AS (SELECT id, max(life) AS life FROM lives GROUP BY id),
+        final AS (SELECT l.id, bool_or(op = 'D') AS gone, bool_or(op = 'I') AS made,
+            max_by(note, seq) FILTER (WHERE op <> 'D') AS note, max_by(description, seq) FILTER (WHERE op <> 'D') AS description,
+            max(actor) FILTER (WHERE op = 'I') AS maker, max(happened) FILTER (WHERE op = 'I') AS made_at,
+            max_by(actor, seq) FILTER (WHERE op = 'U') AS updater, max_by(happened, seq) FILTER (WHERE op = 'U') AS updated_at
+          FROM lives l JOIN closing c ON c.id = l.id AND c.life = l.life GROUP BY l.id)
+        SELECT coalesce(f.id, b.id) AS id, coalesce(f.note, b.note) AS note,
+          coalesce(f.description, b.description) AS description,
+          coalesce(f.maker, 'system') AS create_by,
+          coalesce(f.made_at, TIMESTAMP '2023-01-01 00:00:00') AS create_at, f.updater AS update_by,
+          coalesce(f.updated_at, f.made_at, TIMESTAMP '2023-01-01 00:00:00') AS update_at
+        FROM base b FULL JOIN final f ON f.id = b.id WHERE NOT coalesce(f.gone, false)"""
+
+
 ORACLE = {
     "diff_missing_keys": f"{DIFF} SELECT pair_id, seq, {ORDINAL}, {PATH}, value_json FROM missing",
     "diff_counts": f"""{DIFF} SELECT p.pair_id, count(m.pair_id) AS n_missing
@@ -195,8 +221,10 @@ ORACLE = {
     "changes_checked": f"""WITH {CHANGES} SELECT seq, op, id,
         CASE WHEN op IS NULL OR op = 'X' THEN 'Unknown operation.'
           WHEN op <> 'D' AND (trim(note) = '' OR trim(description) = '')
-          THEN 'Title/Note and Description fields are required.' END AS reason
-        FROM (SELECT * REPLACE (CASE seq % 23 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE op END AS op) FROM feed)""",
+          THEN 'Title/Note and Description fields are required.'
+          WHEN seq IS NULL THEN 'A change needs a seq.' END AS reason
+        FROM (SELECT * REPLACE (CASE seq % 23 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE op END AS op,
+          CASE WHEN seq % 29 <> 5 THEN seq END AS seq) FROM feed)""",
     "changes_inserted_without_id": f"""WITH {CHANGES} SELECT note, description, actor AS create_by,
         happened AS create_at, true AS has_id FROM feed WHERE op = 'I'""",
     "changes_insert_defaults": """SELECT sha256(CAST(doc_id AS VARCHAR)) AS id, source AS title,
@@ -208,28 +236,12 @@ ORACLE = {
         SELECT 'not null' AS rule, 'email' AS column_name, CAST(NULL AS VARCHAR) AS key, count(*) AS n_rows
           FROM stored WHERE email = 'Customer#000000007'
         UNION ALL SELECT 'unique', 'id', id, count(*) FROM stored GROUP BY id HAVING count(*) > 1""",
-    # Replay row by row: what the last insert or delete before an event left decides its effect.
-    "changes_applied": f"""WITH {CHANGES}, base AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS note,
-          c_mktsegment AS description FROM customer),
-        seen AS (SELECT f.*, b.id IS NOT NULL AS stored, lag(CASE WHEN op <> 'U' THEN op END IGNORE NULLS)
-            OVER (PARTITION BY f.id ORDER BY seq) AS before FROM feed f LEFT JOIN base b ON b.id = f.id),
-        judged AS (SELECT *, CASE WHEN before IS NULL THEN stored ELSE before = 'I' END AS existed FROM seen),
-        effective AS (SELECT * FROM judged
-          WHERE (op = 'I' AND NOT existed) OR (op <> 'I' AND existed)),
-        lives AS (SELECT *, count(CASE WHEN op <> 'U' THEN 1 END) OVER (PARTITION BY id ORDER BY seq) AS life
-          FROM effective),
-        closing AS (SELECT id, max(life) AS life FROM lives GROUP BY id),
-        final AS (SELECT l.id, bool_or(op = 'D') AS gone, bool_or(op = 'I') AS made,
-            max_by(note, seq) FILTER (WHERE op <> 'D') AS note, max_by(description, seq) FILTER (WHERE op <> 'D') AS description,
-            max(actor) FILTER (WHERE op = 'I') AS maker, max(happened) FILTER (WHERE op = 'I') AS made_at,
-            max_by(actor, seq) FILTER (WHERE op = 'U') AS updater, max_by(happened, seq) FILTER (WHERE op = 'U') AS updated_at
-          FROM lives l JOIN closing c ON c.id = l.id AND c.life = l.life GROUP BY l.id)
-        SELECT coalesce(f.id, b.id) AS id, coalesce(f.note, b.note) AS note,
-          coalesce(f.description, b.description) AS description,
-          coalesce(f.maker, 'system') AS create_by,
-          coalesce(f.made_at, TIMESTAMP '2023-01-01 00:00:00') AS create_at, f.updater AS update_by,
-          coalesce(f.updated_at, f.made_at, TIMESTAMP '2023-01-01 00:00:00') AS update_at
-        FROM base b FULL JOIN final f ON f.id = b.id WHERE NOT coalesce(f.gone, false)""",
+    "changes_applied": _applied(CHANGES),
+    # Ties are put in order first: by operation, then by content.
+    "changes_tied": _applied(f"""{CHANGES.replace("feed AS", "whole AS", 1)}, tied AS (
+          SELECT * REPLACE (CASE WHEN seq % 11 = 3 THEN NULL ELSE seq % 40 END AS seq, CAST(CAST(seq AS BIGINT) % 30 AS VARCHAR) AS id) FROM whole),
+        feed AS (SELECT * REPLACE (row_number() OVER (PARTITION BY id ORDER BY seq, op, happened NULLS FIRST, actor, note, description) AS seq)
+          FROM tied WHERE seq IS NOT NULL)"""),
     "users_profiles": f"""WITH {PROFILES}, n AS (SELECT id, count(*) AS n, min(email) AS email,
           min(role) AS role FROM stored GROUP BY id)
         SELECT login_no, l.id, CASE WHEN n IS NULL THEN 'absent' WHEN n = 1 THEN 'ok' ELSE 'duplicate' END AS status,

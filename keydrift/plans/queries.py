@@ -235,6 +235,7 @@ def catalog_row_counts(spark, folder) -> DataFrame:
 def changes_checked(spark, folder) -> DataFrame:
     feed = w.note_changes(spark, folder)
     odd = feed.withColumn("op", F.expr("CASE seq % 23 WHEN 0 THEN NULL WHEN 1 THEN 'X' ELSE op END"))
+    odd = odd.withColumn("seq", F.when(F.col("seq") % 29 != 5, F.col("seq")))
     return changes.checked_changes(odd, *changes.NOTE_RULE).select("seq", "op", "id", "reason")
 
 
@@ -260,6 +261,15 @@ def changes_applied(spark, folder) -> DataFrame:
     )
 
 
+def changes_tied(spark, folder) -> DataFrame:
+    """Few ids with many changes of equal number, and changes without one."""
+    feed = w.note_changes(spark, folder).selectExpr(
+        "op", "CASE WHEN seq % 11 = 3 THEN NULL ELSE seq % 40 END AS seq", "CAST(seq % 30 AS STRING) AS id",
+        "actor", "at", "note", "description",
+    )
+    return changes.apply_changes(w.note_snapshot(spark, folder), feed, changes.NOTE_FIELDS)
+
+
 def changes_inserted_without_id(spark, folder) -> DataFrame:
     """Every insert without id becomes a row; updates and deletes without one do nothing."""
     feed = w.note_changes(spark, folder).withColumn("id", F.lit(None).cast("string"))
@@ -295,7 +305,7 @@ QUERIES = {
         lines_first_match, lines_highlighted, history_rows, history_single, history_cleared, text_validity,
         pair_status, catalog_newest_first, catalog_search_listed, catalog_search_everything,
         catalog_search_literal, catalog_search_notes, catalog_facet_values, catalog_row_counts,
-        changes_checked, changes_insert_defaults, changes_violations, changes_applied,
+        changes_checked, changes_insert_defaults, changes_violations, changes_applied, changes_tied,
         users_profiles, users_provisioned, users_refused, users_gate, history_selected, hard_missing_keys,
         hard_counts, hard_import_all, hard_status, catalog_listing, catalog_search_empty_term,
         changes_inserted_without_id,
