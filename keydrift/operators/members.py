@@ -6,7 +6,7 @@ serve when the two sides come from different tables and one is reused, such as a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keydrift.functions.once import built_once
 from keydrift.functions.tree import (
@@ -108,3 +108,25 @@ def missing_members(
     )
     topmost = with_parent.join(parents, [*key, "parent"], "left_semi")
     return topmost.select(*key, "ordinal", "path", "value_json")
+
+
+def missing_shared(
+    members: DataFrame, paths: DataFrame, key: tuple[str, ...] = ("baseline_id",), keep: tuple[str, ...] = ("pair_id",)
+) -> DataFrame:
+    """The rows of :func:`missing_members` (with ``keep…``) for documents that share their targets.
+
+    Members and target paths are united and aggregated once per ``(key…, path)``: what a million documents of one
+    baseline ask for is combined to its distinct paths before the shuffle, and decided there. Members themselves meet
+    only those decisions, as the large side of one plain join, whose hot partitions adaptive execution splits.
+    """
+    asked = members.select(*key, "path", F.lit(False).alias("present"), F.lit(True).alias("asked"))
+    given = paths.select(*key, "path", F.lit(True).alias("present"), F.lit(False).alias("asked"))
+    known = asked.union(given).groupBy(*key, "path").agg(F.max("present").alias("present"), F.max("asked").alias("asked"))
+    # A path tells its own presence, and asks for its parent's; both meet in one more aggregation of distinct paths.
+    parent = F.slice("path", F.lit(1), F.size("path") - 1)
+    own = known.where("present").select(*key, F.col("path").alias("at"), F.lit(True).alias("present"), F.lit(None).cast("array<string>").alias("path"))
+    lacked = known.where("asked AND NOT present").select(*key, parent.alias("at"), F.lit(None).cast("boolean").alias("present"), "path")
+    both = own.union(lacked).withColumn("there", F.max("present").over(Window.partitionBy(*key, "at")))
+    topmost = both.where("there AND path IS NOT NULL").select(*key, "path")
+    found = members.join(topmost, [*key, "path"])
+    return found.select(*keep, *key, "ordinal", "path", "value_json")

@@ -297,3 +297,11 @@ ORACLE["hard_import_all"] = f"""WITH {HARD}, lined AS (SELECT *, chr(10) AS nl F
 ORACLE["hard_status"] = f"""WITH {HARD} SELECT pair_id, CASE WHEN kind = 3 THEN 'Invalid JSON' END AS target_error,
     CAST(NULL AS VARCHAR) AS source_error, kind NOT IN (3, 4) AS comparable,
     CASE WHEN kind = 5 THEN 'Target is not an object' END AS error FROM hard"""
+ORACLE["diff_hot_baseline"] = ORACLE["diff_against_baselines"]
+ORACLE["diff_shared_baseline"] = """SELECT c_custkey AS pair_id, c_mktsegment AS baseline_id, 'acct > nation' AS path,
+      CAST(c_nationkey AS VARCHAR) AS value_json FROM customer
+    UNION ALL SELECT c_custkey, c_mktsegment, 'name', '"' || c_name || '"' FROM customer"""
+ORACLE["diff_by_digests"] = ORACLE["diff_missing_keys"]
+# The root, db and pool of a changed document; nothing of one whose keys only moved.
+ORACLE["diff_opened"] = "SELECT o_orderkey AS pair_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 3 END AS BIGINT) AS n_opened FROM orders"
+ORACLE["hard_by_digests"] = ORACLE["hard_missing_keys"]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keydrift.functions.text import display_path, is_blank
-from keydrift.operators import catalog, changes, history, lines, members, users
+from keydrift.operators import catalog, changes, history, lines, members, users, versions
 from keydrift.operators.diff import missing_counts, missing_keys
 from keydrift.operators.merge import import_all, import_selected
 from keydrift.operators.validate import is_valid_json, json_error, with_status
 from keydrift.plans import workload as w
+from keydrift.streaming import heavy
 from keydrift.streaming.streams import missing_against_baselines
 
 
@@ -69,6 +70,45 @@ def diff_against_baselines(spark, folder) -> DataFrame:
     return found.select("pair_id", big("seq"), shown_path(), "value_json")
 
 
+def diff_hot_baseline(spark, folder) -> DataFrame:
+    """Nine of ten documents refer to one baseline, which the sketch finds."""
+    sources = w.baseline_sources(spark, folder)
+    sources = sources.withColumn("baseline_id", F.when(F.col("pair_id") % 10 < 9, "BUILDING").otherwise(F.col("baseline_id")))
+    found = heavy.missing_against_hot_baselines(sources, w.baselines(spark, folder))
+    return found.select("pair_id", big("seq"), shown_path(), "value_json")
+
+
+def diff_shared_baseline(spark, folder) -> DataFrame:
+    sources, keys = w.baseline_sources(spark, folder), ("pair_id", "baseline_id")
+    asked = members.source_members(sources, "source_json", keys)
+    given = members.target_paths(w.baselines(spark, folder), "target_json", ("baseline_id",))
+    return members.missing_shared(asked, given).select("pair_id", "baseline_id", shown_path(), "value_json")
+
+
+def _stored(pairs: DataFrame) -> DataFrame:
+    """Sources with the digest trees of their targets."""
+    trees = versions.digest_trees(pairs, "target_json", ("pair_id",))
+    return pairs.select("pair_id", "source_json").join(trees, "pair_id")
+
+
+def diff_by_digests(spark, folder) -> DataFrame:
+    found = versions.missing_by_digests(_stored(w.config_pairs(spark, folder)))
+    return found.select("pair_id", big("seq"), shown_ordinal(), shown_path(), "value_json")
+
+
+def diff_opened(spark, folder) -> DataFrame:
+    """Objects opened where every other stored document is the new one with its keys in another order."""
+    pairs = w.config_pairs(spark, folder)
+    turned = F.expr("replace(source_json, '{\"min\":1,\"max\":' || (pair_id % 50) || '}', '{ \"max\" : ' || (pair_id % 50) || ', \"min\":1}')")
+    same = pairs.withColumn("target_json", F.when(F.col("pair_id") % 2 == 0, turned).otherwise(F.lit('{"key":0,"db":{"pool":{}}}')))
+    return versions.opened_counts(_stored(same))
+
+
+def hard_by_digests(spark, folder) -> DataFrame:
+    found = versions.missing_by_digests(_stored(w.hard_pairs(spark, folder)))
+    return found.select("pair_id", big("seq"), shown_path(), "value_json")
+
+
 def merge_import_all(spark, folder) -> DataFrame:
     merged = import_all(w.config_pairs(spark, folder))
     return merged.select("pair_id", "merged_json", big("n_imported"))
@@ -300,7 +340,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         diff_missing_keys, diff_counts, diff_same_document, diff_source_members,
-        diff_target_paths, diff_by_join, diff_against_baselines, merge_import_all,
+        diff_target_paths, diff_by_join, diff_against_baselines, diff_hot_baseline, diff_shared_baseline,
+        diff_by_digests, diff_opened, hard_by_digests, merge_import_all,
         merge_import_selected, merge_leaves_nothing, lines_numbered, lines_exact,
         lines_first_match, lines_highlighted, history_rows, history_single, history_cleared, text_validity,
         pair_status, catalog_newest_first, catalog_search_listed, catalog_search_everything,
