@@ -2,8 +2,8 @@
 
 A paragraph is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs' vectors modulo
 2**32 in every lane. So it does not depend on the order of paragraphs, and a paragraph is inserted or deleted
-by adding or subtracting its vector. Eight lanes are wide hashes of the paragraph and decide equality; the
-other lanes count, over the paragraph's three-word runs, the ones in each bit of their hashes, which keeps
+by adding or subtracting its vector. Eight lanes are the paragraph's SHA-256 and decide equality; the other
+lanes count, over the paragraph's three-word runs, the ones in each bit of their hashes, which keeps
 the sum's direction alike for documents with paragraphs or passages in common.
 """
 
@@ -14,31 +14,34 @@ from pyspark.sql import functions as F
 
 from keydrift.llm.common import saved
 
-#: Lanes from four seeds, two lanes of 32 bits each; bits of a run's hash that are counted.
-SEEDS, BITS = 4, 64
-LANES = 2 * SEEDS + BITS + 1
+#: Lanes of 32 bits from a paragraph's SHA-256; bits of a run's hash that are counted.
+WIDE, BITS = 8, 64
+LANES = WIDE + BITS + 1
 MODULUS = 1 << 32
 GAP = "[\\x20\\x09-\\x0D]+"
 
 
 def lanes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys and `lanes`: the vector of each row's text. keys tell rows apart; empty texts have the zero vector."""
-    parts = rows.select(*keys, F.explode(F.split(F.col(text), "\n")).alias("paragraph"))
-    words = parts.select(*keys, "paragraph", F.split("paragraph", GAP).alias("words"))
-    runs = words.select(*keys, "paragraph", "words", F.posexplode("words").alias("at", "word"))
+    """keys and `lanes`: the vector of each row's text. keys tell rows apart; empty texts have the zero vector.
+
+    A blank paragraph of a text that is not empty counts in the wide lanes like any other, but has no words.
+    """
+    parts = rows.select(*keys, (F.col(text) != "").alias("given"), F.explode(F.split(F.col(text), "\n")).alias("paragraph"))
+    words = parts.select(*keys, "given", "paragraph", F.split("paragraph", GAP).alias("words"), F.sha2(F.col("paragraph").cast("binary"), 256).alias("digest"))
+    runs = words.select(*keys, "given", "paragraph", "words", "digest", F.posexplode("words").alias("at", "word"))
     run = F.xxhash64("word", F.get("words", F.col("at") + 1), F.get("words", F.col("at") + 2))
-    whole = [F.when(F.col("at") == 0, F.xxhash64("paragraph", F.lit(s))).otherwise(0).alias(f"whole{s}") for s in range(SEEDS)]
-    some = F.col("paragraph") != ""
-    hashed = runs.select(*keys, some.alias("some"), run.alias("run"), *whole)
+    wide = [F.conv(F.substring("digest", 8 * i + 1, 8), 16, 10).cast("long") for i in range(WIDE)]
+    first = F.col("given") & (F.col("at") == 0)
+    hashed = runs.select(*keys, (F.col("paragraph") != "").alias("some"), run.alias("run"), *[F.when(first, x).otherwise(0).alias(f"wide{i}") for i, x in enumerate(wide)])
     low = F.lit(MODULUS - 1)
     pair = F.lit((1 << 32) | 1)
     when = lambda value: F.when(F.col("some"), value).otherwise(0)
-    sums = [F.sum(when(x)).alias(f"w{s}{i}") for s in range(SEEDS) for i, x in enumerate((F.col(f"whole{s}").bitwiseAND(low), F.shiftrightunsigned(f"whole{s}", 32)))]
+    sums = [F.sum(f"wide{i}").alias(f"w{i}") for i in range(WIDE)]
     # Bits k and k + 32 of every run are counted in the halves of one sum, which no text is long enough to overflow.
     sums += [F.sum(when(F.shiftrightunsigned("run", k).bitwiseAND(pair))).alias(f"b{k}") for k in range(BITS // 2)]
     sums += [F.sum(when(F.lit(1))).alias("n")]
     summed = hashed.groupBy(*keys).agg(*sums)
-    out = [F.col(f"w{s}{i}") for s in range(SEEDS) for i in range(2)]
+    out = [F.col(f"w{i}") for i in range(WIDE)]
     out += [F.col(f"b{k}").bitwiseAND(low) for k in range(BITS // 2)] + [F.shiftrightunsigned(f"b{k}", 32) for k in range(BITS // 2)]
     vector = F.transform(F.array(*[x.cast("long") for x in [*out, F.col("n").cast("long")]]), lambda x: F.pmod(x, F.lit(MODULUS)))
     return summed.select(*keys, vector.alias("lanes"))
@@ -58,7 +61,7 @@ def likeness(left: Column, right: Column) -> Column:
     """0 to 1: 1 for equal vectors, else the cosine of the counted directions; 0 against an empty text."""
     def direction(v: Column) -> Column:
         n = F.element_at(v, LANES)
-        return F.transform(F.slice(v, 2 * SEEDS + 1, BITS), lambda x: (2 * x - n).cast("double"))
+        return F.transform(F.slice(v, WIDE + 1, BITS), lambda x: (2 * x - n).cast("double"))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
