@@ -1,10 +1,12 @@
 """License scans by an exact set-similarity join (operator 4).
 
-Text blocks are runs of BLOCK words that overlap by half. A block meets a template if it contains at least
-CONTAINED of the template's distinct words. The join follows the prefix principle: words are put in the global
-order of their corpus frequency, rarest first; a block that shares enough words with a template shares one of
-the template's first words, so only those are looked up. Length and positional bounds drop candidates before
-the sets are compared. Phrases standing word for word are found beside it.
+A text block is any run of BLOCK words, wherever it begins. It meets a template if it contains at least CONTAINED
+of the template's distinct words. The join follows the prefix principle: words are put in the global order of
+their corpus frequency, rarest first; a block that shares enough words with a template shares one of the
+template's first words, so only those are looked up. A stretch of the text holds all blocks that contain a rare
+word of some BLOCK places; length and positional bounds drop stretches before sets are compared, and only in
+stretches that share enough words are their blocks compared one by one, from every word of the template on.
+Phrases standing word for word are found beside it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ TEMPLATES = {
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-#: Share of a template's distinct words that a block contains; words in a block, twice the step between blocks.
+#: Share of a template's distinct words that a block contains; words in a block.
 CONTAINED, BLOCK = 0.8, 48
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,22 +100,15 @@ def licensed(docs: DataFrame) -> DataFrame:
     hit = F.filter(F.sequence(F.lit(0), F.size("words")), lambda i: F.lower(F.get("words", i)).isin(*rare))
     words = words.select("row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), exact.alias("exact"), hit.alias("hits"))
 
-    step = BLOCK // 2
-    blocks = F.array_distinct(
-        F.flatten(F.transform("hits", lambda i: F.array((i / step).cast("int"), F.greatest((i / step).cast("int") - 1, F.lit(0)))))
-    )
+    # Hits in places c * BLOCK and after share a stretch: every block with one of them lies inside it.
+    cells = F.array_distinct(F.transform("hits", lambda i: (i / BLOCK).cast("int")))
     ranks = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])])
-    block = F.transform(
-        blocks,
-        lambda b: F.array_sort(
-            F.array_distinct(
-                F.filter(
-                    F.transform(F.slice("words", b * step + 1, BLOCK), lambda w: F.try_element_at(ranks, F.translate(w, UPPER, LOWER))),
-                    lambda r: r.isNotNull(),
-                )
-            )
-        ),
-    )
+
+    def stretch(cell: Column) -> Column:
+        begin, end = F.greatest(cell * BLOCK - BLOCK + 1, F.lit(0)), cell * BLOCK + 2 * BLOCK - 1
+        return F.transform(F.slice("words", begin + 1, end - begin), lambda w: F.try_element_at(ranks, F.translate(w, UPPER, LOWER)))
+
+    block = F.transform(cells, stretch)
     places = {label: _places(F.col("exact"), phrase) for phrase, label in PHRASES.items()}
     base = words.select("row", "doc_id", "n_words", block.alias("blocks"), *[p.alias(label) for label, p in places.items()])
     labels = sorted(places)
@@ -126,14 +121,20 @@ def licensed(docs: DataFrame) -> DataFrame:
         F.array_join("named", ",").alias("base_labels"), F.explode_outer("blocks").alias("block"),
     )
 
+    base = base.withColumnRenamed("block", "stretch").withColumn("block", F.array_sort(F.array_distinct(F.array_compact("stretch"))))
     looked = base.select("*", F.posexplode_outer("block").alias("at", "word_rank"))
     bound = F.least(F.size("ranks") - F.col("template_at"), F.size("block") - F.col("at"))
     met = looked.join(
         templates, (looked.word_rank == templates.word_rank) & (F.size("block") >= F.col("needed")) & (bound >= F.col("needed")), "left"
     )
     common = F.size(F.array_intersect("block", "ranks"))
-    contained = F.when(common >= F.col("needed"), common / F.size("ranks"))
-    found = met.select(*[c for c in base.columns if c != "block"], F.when(contained.isNotNull(), F.col("label")).alias("label"), contained.alias("contained"))
+    # The block that begins at a word of the template holds all that a block with this word as its first one can.
+    held = lambda at: F.size(F.array_intersect(F.slice("stretch", at + 1, BLOCK), "ranks"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("stretch") - 1), lambda at: F.array_contains("ranks", F.get("stretch", at)))
+    most = F.when(common >= F.col("needed"), F.array_max(F.transform(begins, held)))
+    met = met.select("*", most.alias("most"))
+    contained = F.when(F.col("most") >= F.col("needed"), F.col("most") / F.size("ranks"))
+    found = met.select(*[c for c in base.columns if c not in ("block", "stretch")], F.when(contained.isNotNull(), F.col("label")).alias("label"), contained.alias("contained"))
     keys = ["row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     rows = found.groupBy(*keys).agg(F.collect_set("label").alias("more"), F.max("contained").alias("contained"))
     both = F.array_union(F.filter(F.split("base_labels", ","), lambda x: x != ""), "more")

@@ -22,7 +22,7 @@ def scanned(text):
             if found[k : k + len(parts)] == parts:
                 places.append(k)
                 base.add(label)
-    for k in range(0, len(found), scan.BLOCK // 2):
+    for k in range(len(found)):  # every block, wherever it begins
         block = set(found[k : k + scan.BLOCK])
         for label, template in scan.TEMPLATES.items():
             wanted = set(template.split())
@@ -40,6 +40,9 @@ def test_license_scan_equals_brute_force(spark, edges, clashing, nothing):
         for drop in (0, 2, 4, 9):
             kept = [w for i, w in enumerate(parts) if (i * 7 + k) % len(parts) >= drop]
             texts.append(" ".join(words(k + drop, 17 + 13 * k) + kept[::-1] + words(drop, 40)).upper())
+        spread = [w for i, p in enumerate(parts) for w in ([p, f"x{i}"] if i % 2 else [p])]
+        texts += [" ".join([*words(k, offset), *spread, *words(k + 1, 30)]) for offset in range(k, 100, 9)]
+        texts.append(" ".join(w for i, p in enumerate(parts) for w in (p, f"y{i}", f"z{i}", f"v{i}")))
     texts += ["CC-BY cc by", "Apache  License", "apache\nlicense, MIT license gnu", "worK gnu general public license", "licensed"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = {r.doc_id: tuple(r)[1:] for r in scan.licensed(docs).collect()}
