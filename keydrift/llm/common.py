@@ -148,8 +148,10 @@ def numbers(n: int, seed: int) -> np.ndarray:
 
 
 def kept_by_worker(name: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker, so that later tasks in it find it again."""
-    store = sys.modules.setdefault("keydrift_worker", types.ModuleType("keydrift_worker")).__dict__
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    """An object that later tasks of the Python worker find again, until one of them asks for another object."""
+    store = sys.modules.setdefault("keydrift_worker", types.ModuleType("keydrift_worker"))
+    if getattr(store, "kept_name", None) != name:
+        store.kept = store.kept_name = None
+        store.kept = make()
+        store.kept_name = name
+    return store.kept

@@ -29,7 +29,7 @@ SUPPORT, STRONG, WEAK = 4, 3.5, 1.2
 #: The size bound of the lexicon, which every task is given; the most telling entries come first.
 ENTRIES = 50_000
 #: Steps of automata and words with their grades that a worker remembers.
-STEPS, WORDS = 500_000, 200_000
+STEPS, WORDS = 100_000, 60_000
 #: How much likelier an entry's toxic documents are by its own rate than by chance (logarithm of the ratio).
 EVIDENCE = 8.0
 #: Letters of a stem; how many times as many documents as its most frequent word it must be in.
