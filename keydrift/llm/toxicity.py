@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ SUPPORT, STRONG, WEAK = 4, 3.5, 1.2
 #: The size bound of the lexicon, which every task is given; the most telling entries come first.
 ENTRIES = 50_000
 #: Steps of automata and words with their grades that a worker remembers.
-STEPS, WORDS = 100_000, 60_000
+STEPS, WORDS = 500_000, 100_000
 #: How much likelier an entry's toxic documents are by its own rate than by chance (logarithm of the ratio).
 EVIDENCE = 8.0
 #: Letters of a stem; how many times as many documents as its most frequent word it must be in.
@@ -53,13 +54,15 @@ def reach(entry: str, strong: bool) -> int:
 
 #: The place behind a stem, where any letters may follow; the grade of a word that matches nothing.
 TAIL, NOTHING = -1, 9
+EDITS = 16
 WORD = re.compile(r"[^\W_]+")
 
 
 class Automaton:
     """The words within reach of an entry; `x*` matches words that begin with x. entries tells which are strong.
 
-    State 0 is dead, 1 the beginning. Only states that some word came through exist.
+    State 0 is dead, 1 the beginning. Only states that some word came through exist. A state is kept as the bytes
+    of numbers, node * EDITS + edits each, and a step under state * letters + letter.
     """
 
     def __init__(self, entries: dict[str, bool]):
@@ -76,32 +79,33 @@ class Automaton:
                 node = self.children[node][letter]
                 self.limit[node] = max(self.limit.get(node, 0), most)
             self.ends.setdefault(node, []).append((entry.endswith("*"), strong, most))
-        self.letters = {c for e in entries for c in e.rstrip("*")}
+        self.letters = {c: i + 1 for i, c in enumerate(sorted({c for e in entries for c in e.rstrip("*")}))}
         self.known: dict[str, int] = {}
         self._begin()
 
     def _begin(self) -> None:
-        self.number: dict[frozenset, int] = {}
-        self.states: list[frozenset] = []
+        self.number: dict[bytes, int] = {}
+        self.states: list[bytes] = []
         self.grades: list[int] = []
         self.sure: list[bool] = []
-        self.steps: dict[tuple[int, str | None], int] = {}
-        self._numbered(frozenset())
+        self.steps: dict[int, int] = {}
+        self._numbered({})
         self._numbered(self._closed({0: 0}))
 
     def _graded(self, node: int, edits: int, stem: bool) -> list[int]:
         return [1 + edits if edits else int(not strong) for s, strong, most in self.ends.get(node, ()) if s == stem and edits <= most]
 
-    def _numbered(self, state: frozenset) -> int:
+    def _numbered(self, nodes: dict[int, int]) -> int:
+        state = array("i", sorted(node * EDITS + edits for node, edits in nodes.items())).tobytes()
         if state not in self.number:
             self.number[state] = len(self.states)
             self.states.append(state)
-            found = [g for node, edits in state for g in ([edits] if node == TAIL else self._graded(node, edits, False))]
+            found = [g for node, edits in nodes.items() for g in ([edits] if node == TAIL else self._graded(node, edits, False))]
             self.grades.append(min(found, default=NOTHING))
-            self.sure.append((TAIL, 0) in state)
+            self.sure.append(nodes.get(TAIL) == 0)
         return self.number[state]
 
-    def _closed(self, nodes: dict[int, int]) -> frozenset:
+    def _closed(self, nodes: dict[int, int]) -> dict[int, int]:
         """With the nodes that deletions of letters of the entry lead to, and the tails of stems that are complete."""
         todo = [x for x in nodes.items() if x[0] != TAIL]
         tail = nodes.pop(TAIL, NOTHING)
@@ -115,11 +119,12 @@ class Automaton:
                     todo.append((child, edits + 1))
         if tail < NOTHING:
             nodes[TAIL] = tail
-        return frozenset(nodes.items())
+        return nodes
 
-    def _step(self, state: int, letter: str | None) -> int:
+    def _step(self, state: int, letter: str) -> int:
         after: dict[int, int] = {}
-        for node, edits in self.states[state]:
+        for packed in array("i", self.states[state]):
+            node, edits = divmod(packed, EDITS)
             if node == TAIL:
                 after[TAIL] = min(edits, after.get(TAIL, NOTHING))
                 continue
@@ -137,17 +142,16 @@ class Automaton:
             begun = self._closed(after)
             self._begin()
             return self._numbered(begun)
-        self.steps[state, letter] = found = self._numbered(self._closed(after))
+        self.steps[state * (len(self.letters) + 1) + self.letters.get(letter, 0)] = found = self._numbered(self._closed(after))
         return found
 
     def grade(self, word: str) -> int:
         """What a word matches: 0 a strong entry, 1 a weak one, 1 + n one with n edits, NOTHING."""
-        state = 1
+        state, letters, steps = 1, self.letters, len(self.letters) + 1
         for letter in word.lower():
             if self.sure[state]:
                 break
-            letter = letter if letter in self.letters else None
-            after = self.steps.get((state, letter))
+            after = self.steps.get(state * steps + letters.get(letter, 0))
             state = self._step(state, letter) if after is None else after
             if not state:
                 return NOTHING
