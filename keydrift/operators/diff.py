@@ -11,13 +11,12 @@ from keydrift.functions.tree import (
     is_object,
     key_text,
     levels,
-    marked,
     open_object,
     open_target,
     paired_members,
     rank_of,
 )
-from keydrift.operators.validate import can_walk, json_error
+from keydrift.operators.validate import error_of, has_shape, valid_marks
 from keydrift.plans.session import require_settings
 
 _NODES = "array<struct<ordinal:array<bigint>,path:array<string>,source:string,target:string>>"
@@ -87,24 +86,38 @@ def _missing_or_open(node: Column) -> Column:
     )
 
 
-def _walked(pairs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """``keep…, missing``: the missing nodes of each pair, NULL where it cannot be compared."""
-    require_settings(pairs.sparkSession)
-    target, source = F.col("target_json"), F.col("source_json")
+def marked_pairs(pairs: DataFrame, keep: tuple[str, ...], gate: Column | None = None) -> DataFrame:
+    """``keep…, target, source, status``: marked sides of the pairs that can be walked, NULL for the others.
+
+    Each side is parsed once. ``status`` names the fault of a side that could not be read. Pairs that fail ``gate``
+    have no marks, but a status.
+    """
     # Gated by columns, not by a filter: a filter on the texts would be pushed below the step
     # that builds them and build them once more for every mention.
-    checked = pairs.select(
-        *keep, "target_json", "source_json", can_walk(target, source).alias("walkable")
+    target, source = F.col("target_json"), F.col("source_json")
+    shaped = has_shape(target, source) if gate is None else has_shape(target, source) & gate
+    needed = list(dict.fromkeys([*keep, "target_json", "source_json"]))
+    read = pairs.select(
+        *needed, shaped.alias("_shaped"), valid_marks(target).alias("_target"), valid_marks(source).alias("_source")
     )
-    ready = checked.select(
+    ready = F.col("_shaped") & F.col("_target").isNotNull() & F.col("_source").isNotNull()
+    return read.select(
         *keep,
-        F.when(F.col("walkable"), marked(target)).alias("target"),
-        F.when(F.col("walkable"), marked(source)).alias("source"),
+        F.when(ready, F.col("_target")).alias("target"),
+        F.when(ready, F.col("_source")).alias("source"),
+        F.coalesce(error_of(target, F.col("_target")), error_of(source, F.col("_source"))).alias("status"),
     )
+
+
+def _walked(pairs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep…, missing, status``: the missing nodes of each pair, NULL where it cannot be compared."""
+    require_settings(pairs.sparkSession)
     nodes = built_once(
         "missing_nodes", lambda: missing_nodes(F.col("target"), F.col("source"))
     )
-    return ready.select(*keep, F.when(F.col("target").isNotNull(), nodes).alias("missing"))
+    return marked_pairs(pairs, keep).select(
+        *keep, F.when(F.col("target").isNotNull(), nodes).alias("missing"), "status"
+    )
 
 
 def missing_keys(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> DataFrame:
@@ -133,6 +146,4 @@ def missing_counts(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Da
     ``status`` names the fault of a side that could not be read, whose pair has no count but zero.
     """
     found = F.when(F.col("missing").isNotNull(), F.size("missing")).otherwise(0)
-    status = F.coalesce(json_error(F.col("target_json")), json_error(F.col("source_json")))
-    walked = _walked(pairs.withColumn("status", status), (*keep, "status"))
-    return walked.select(*keep, found.cast("bigint").alias("n_missing"), "status")
+    return _walked(pairs, keep).select(*keep, found.cast("bigint").alias("n_missing"), "status")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from keydrift.functions.once import built_once
-from keydrift.functions.tree import compact_json, marked, rendered_lines
-from keydrift.operators.diff import missing_keys
-from keydrift.operators.validate import can_walk, json_error
+from keydrift.functions.tree import compact_json, rendered_lines
+from keydrift.operators.diff import marked_pairs, missing_keys
 from keydrift.plans.session import require_settings
 
 _HITS = "array<struct<path:array<string>,line_no:int,source:string>>"
@@ -32,10 +31,12 @@ def import_selected(
     """Only the selected missing keys taken over; ``selection`` has ``key`` and ``path``.
 
     A path that is no missing key of its pair has no effect and is dropped before the paths of
-    one pair are gathered into its row; so they are bounded by the keys of one document.
+    one pair are gathered into its row; so they are bounded by the keys of one document. Pairs
+    without a selected path are not walked.
     """
     selection = selection.select(key, "path").distinct()
-    known = missing_keys(pairs, keep=(key,)).select(key, "path")
+    asked = pairs.join(selection.select(key).distinct(), key, "left_semi")
+    known = missing_keys(asked, keep=(key,)).select(key, "path")
     selection = selection.join(known, [key, "path"], "left_semi")
     picked = selection.groupBy(key).agg(F.collect_list("path").alias("picked"))
     none = F.array().cast("array<array<string>>")
@@ -54,17 +55,9 @@ def imported_keys(merged: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Da
 
 def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> DataFrame:
     require_settings(pairs.sparkSession)
-    target, source = F.col("target_json"), F.col("source_json")
-    carried = [*keep, "target_json", "status"] + ([picked] if picked else [])
-    pairs = pairs.withColumn("status", F.coalesce(json_error(target), json_error(source)))
-    # Pairs that cannot be compared carry NULL marks: they are printed as they came.
-    ready = pairs.select(
-        *carried, "source_json", can_walk(target, source).alias("walkable")
-    ).select(
-        *carried,
-        F.when(F.col("walkable"), marked(target)).alias("target"),
-        F.when(F.col("walkable"), marked(source)).alias("source"),
-    )
+    # Pairs that cannot be compared, or import nothing, carry NULL marks: they are printed as they came.
+    carried = tuple(dict.fromkeys([*keep, "target_json", *([picked] if picked else [])]))
+    ready = marked_pairs(pairs, carried, F.size(picked) > 0 if picked else None)
     lines = built_once(
         f"rendered_lines {picked}",
         lambda: rendered_lines(

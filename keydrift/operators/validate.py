@@ -16,18 +16,26 @@ BEYOND_LIMITS = "Beyond parser limits"
 LONGEST_NAME, DEEPEST = 50_000, 999
 
 
-def is_valid_json(text: Column) -> Column:
-    """Strict validity: exactly one JSON value.
+def valid_marks(text: Column) -> Column:
+    """The marked text of exactly one JSON value, NULL for any other text; a single pass over the document.
 
     The marked text, which is what a walk opens later, is placed in an array in front of its own
     digest: only a single complete value leaves the digest in second and last place.
     """
     digest = F.sha2(text, 256)
-    framed = F.concat(F.lit("["), marked(text), F.lit(',"'), digest, F.lit('"]'))
-    parsed = F.from_json(framed, "array<string>", JSON_OPTIONS)
-    return F.coalesce(
-        let(parsed, lambda values: (F.size(values) == 2) & (F.get(values, F.lit(1)) == digest)), F.lit(False)
-    )
+
+    def checked(marks: Column) -> Column:
+        framed = F.concat(F.lit("["), marks, F.lit(',"'), digest, F.lit('"]'))
+        parsed = F.from_json(framed, "array<string>", JSON_OPTIONS)
+        single = let(parsed, lambda values: (F.size(values) == 2) & (F.get(values, F.lit(1)) == digest))
+        return F.when(single, marks)
+
+    return let(marked(text), checked)
+
+
+def is_valid_json(text: Column) -> Column:
+    """Strict validity: exactly one JSON value."""
+    return valid_marks(text).isNotNull()
 
 
 def is_beyond_limits(text: Column) -> Column:
@@ -36,10 +44,15 @@ def is_beyond_limits(text: Column) -> Column:
     return F.coalesce(long_name | (nesting_depth(text) > DEEPEST), F.lit(False))
 
 
+def error_of(text: Column, marks: Column) -> Column:
+    """For non-blank text without :func:`valid_marks` ``Invalid JSON`` or ``Beyond parser limits``, else NULL."""
+    wrong = marks.isNull() & ~is_blank(text)
+    return F.when(wrong, F.when(is_beyond_limits(text), BEYOND_LIMITS).otherwise(INVALID_JSON))
+
+
 def json_error(text: Column) -> Column:
     """For non-blank text that is not one JSON value ``Invalid JSON`` or ``Beyond parser limits``, else NULL."""
-    wrong = ~is_blank(text) & ~is_valid_json(text)
-    return F.when(wrong, F.when(is_beyond_limits(text), BEYOND_LIMITS).otherwise(INVALID_JSON))
+    return error_of(text, valid_marks(text))
 
 
 def is_truthy_json(text: Column) -> Column:
@@ -72,11 +85,14 @@ def is_container(text: Column) -> Column:
     return is_object(value) | is_array(value)
 
 
+def has_shape(target: Column, source: Column) -> Column:
+    """An object against a container, by their first characters; such texts are neither blank nor falsy."""
+    return is_object(F.btrim(source, F.lit(JSON_SPACE))) & is_container(target)
+
+
 def can_walk(target: Column, source: Column) -> Column:
     """Pairs that can have missing keys: comparable, an object against a container."""
-    return is_object(F.btrim(source, F.lit(JSON_SPACE))) & is_container(target) & is_comparable(
-        target, source
-    )
+    return has_shape(target, source) & is_valid_json(target) & is_valid_json(source)
 
 
 def with_status(pairs: DataFrame) -> DataFrame:

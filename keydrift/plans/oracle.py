@@ -305,3 +305,18 @@ ORACLE["diff_by_digests"] = ORACLE["diff_missing_keys"]
 # The root, db and pool of a changed document; nothing of one whose keys only moved.
 ORACLE["diff_opened"] = "SELECT o_orderkey AS pair_id, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 3 END AS BIGINT) AS n_opened FROM orders"
 ORACLE["hard_by_digests"] = ORACLE["hard_missing_keys"]
+ORACLE["catalog_search_indexed"] = f"""WITH {SAVED_QUERIES}, terms(term) AS (VALUES
+    ('the '), ('GNU general public'), ('ver'), ('%'), (chr(10)), ('no such words anywhere'), ('e'))
+  SELECT term, id, hos_use FROM saved JOIN terms
+    ON contains(lower(title), lower(term)) OR contains(lower(query), lower(term))"""
+ORACLE["catalog_pages"] = f"""WITH {LISTED}, placed AS (SELECT id, title, create_at,
+    row_number() OVER (ORDER BY create_at DESC NULLS FIRST, id) AS place,
+    row_number() OVER (PARTITION BY create_at IS NULL ORDER BY create_at DESC, id) AS own FROM listed)
+  SELECT CAST((place - 1) // 100 AS INT) AS page, id, title, create_at FROM placed WHERE place <= 200
+  UNION ALL SELECT 2, id, title, create_at FROM placed WHERE create_at IS NOT NULL AND own <= 100"""
+ORACLE["changes_tally"] = f"""SELECT description AS facet_value, count(*) AS n_rows
+  FROM ({ORACLE["changes_applied"]}) GROUP BY 1"""
+ORACLE["history_tombstones"] = f"""{DIFF} SELECT pair_id, CASE WHEN pair_id % 3 = 0
+    THEN TIMESTAMP '2024-05-02 00:00:00' ELSE TIMESTAMP '2024-05-01 00:00:00' END AS ts,
+    seq AS batch_seq, {PATH}, value_json FROM missing JOIN orders ON o_orderkey = pair_id
+  WHERE pair_id % 10 <> 0 AND (pair_id % 3 = 0 OR o_orderstatus <> 'F')"""

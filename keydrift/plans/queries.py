@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keydrift.functions.text import display_path, is_blank
-from keydrift.operators import catalog, changes, history, lines, members, users, versions
+from keydrift.operators import catalog, changes, grams, history, lines, members, pages, tallies, tombstones, users, versions
 from keydrift.operators.diff import missing_counts, missing_keys
 from keydrift.operators.merge import import_all, import_selected
 from keydrift.operators.validate import is_valid_json, json_error, with_status
 from keydrift.plans import workload as w
+from keydrift.sources.shared import new_folder, stored
 from keydrift.streaming import heavy
 from keydrift.streaming.streams import missing_against_baselines
 
@@ -155,9 +158,10 @@ def lines_highlighted(spark, folder) -> DataFrame:
     )
 
 
-def _history(spark, folder, kind=history.ALL, condition="true") -> DataFrame:
+def _history(spark, folder, kind=history.ALL, condition="true", pairs=None) -> DataFrame:
     # Ordered before the walk, which keeps the order: sorting its rows would walk every pair twice.
-    found = missing_keys(w.config_pairs(spark, folder).orderBy("pair_id")).where(condition)
+    pairs = w.config_pairs(spark, folder) if pairs is None else pairs
+    found = missing_keys(pairs.orderBy("pair_id")).where(condition)
     at = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
     return history.history_rows(found, kind, at)
 
@@ -199,10 +203,27 @@ def hard_status(spark, folder) -> DataFrame:
 
 def history_cleared(spark, folder) -> DataFrame:
     cleared = w.table(spark, folder, "orders").where("o_orderstatus = 'F'")
-    kept = history.without_pairs(
-        _history(spark, folder), cleared.selectExpr("o_orderkey AS pair_id")
+    # Cleared pairs go before they are walked, as an empty history needs no comparison.
+    pairs = history.without_pairs(w.config_pairs(spark, folder), cleared.selectExpr("o_orderkey AS pair_id"))
+    return _history(spark, folder, pairs=pairs).groupBy("type").agg(F.count("*").alias("n_rows"))
+
+
+def history_tombstones(spark, folder) -> DataFrame:
+    """A history whose pairs are cleared in two rounds, with rows in between, compacted after the first."""
+    orders, store = w.table(spark, folder, "orders"), tombstones.HistoryStore(new_folder(spark, "history"), 8)
+    rows = stored(_history(spark, folder), "imported")
+    tombstones.begin_history(spark, store)
+    tombstones.append_rows(rows.where("pair_id % 3 <> 0"), store)
+    at = F.to_timestamp(F.lit("2024-05-01 12:00:00"))
+    tombstones.clear_pairs(orders.where("o_orderstatus = 'F'").selectExpr("o_orderkey AS pair_id"), store, at)
+    tombstones.compact(spark, store)
+    later = rows.where("pair_id % 3 = 0").withColumn("ts", F.to_timestamp(F.lit("2024-05-02 00:00:00")))
+    tombstones.append_rows(later, store)
+    tombstones.clear_pairs(
+        orders.where("o_orderkey % 10 = 0").selectExpr("o_orderkey AS pair_id"), store, F.to_timestamp(F.lit("2024-05-03 00:00:00"))
     )
-    return kept.groupBy("type").agg(F.count("*").alias("n_rows"))
+    kept = tombstones.current_history(spark, store)
+    return kept.select("pair_id", "ts", big("batch_seq"), shown_path(), "value_json")
 
 
 def text_validity(spark, folder) -> DataFrame:
@@ -262,6 +283,43 @@ def catalog_search_notes(spark, folder) -> DataFrame:
     return catalog.search_notes(w.saved_notes(spark, folder), "User", cap=None).select("id", "note")
 
 
+INDEXED_TERMS = ("the ", "GNU general public", "ver", "%", "\n", "no such words anywhere", "e")
+
+
+def catalog_search_indexed(spark, folder) -> DataFrame:
+    """Frequent, rare, short and absent terms, each answered from one index."""
+    index = grams.write_index(w.saved_queries(spark, folder), ("title", "query"), new_folder(spark, "grams"))
+    found = [
+        grams.search_index(spark, index, term).select(F.lit(term).alias("term"), "id", "hos_use") for term in INDEXED_TERMS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def catalog_pages(spark, folder) -> DataFrame:
+    """The first page, the one after it, and the first of rows that have a time."""
+    rows, path = w.event_queries(spark, folder), new_folder(spark, "listing")
+    pages.write_listing(rows, path)
+    first = pages.page(spark, rows.schema, path, 100)
+    last = first.orderBy(F.col("create_at").asc_nulls_last(), F.col("id").desc()).first()
+    second = pages.page(spark, rows.schema, path, 100, (last.create_at, last.id))
+    dated = pages.page(spark, rows.schema, path, 100, (None, "~"))
+    shown = [p.select(F.lit(n).alias("page"), "id", "title", "create_at") for n, p in enumerate((first, second, dated))]
+    return reduce(DataFrame.unionByName, shown)
+
+
+def changes_tally(spark, folder) -> DataFrame:
+    """Counts per description carried through three change sets, never recounted."""
+    now, feed = w.note_snapshot(spark, folder), w.note_changes(spark, folder)
+    top = feed.agg(F.max("seq")).first()[0] or 0
+    counts = stored(tallies.tally(now, "description"), "counts")
+    for k in range(3):
+        part = feed.where((F.col("seq") > top * k // 3 - (k == 0)) & (F.col("seq") <= top * (k + 1) // 3))
+        moved = tallies.tally_changes(now, part, changes.NOTE_FIELDS, "description")
+        counts = stored(tallies.updated_tally(counts, moved), "counts")
+        now = stored(changes.apply_changes(now, part, changes.NOTE_FIELDS), "notes")
+    return counts
+
+
 def catalog_facet_values(spark, folder) -> DataFrame:
     return catalog.facet_values(w.saved_queries(spark, folder))
 
@@ -349,6 +407,6 @@ QUERIES = {
         changes_checked, changes_insert_defaults, changes_violations, changes_applied, changes_tied,
         users_profiles, users_provisioned, users_refused, users_gate, history_selected, hard_missing_keys,
         hard_counts, hard_import_all, hard_status, catalog_listing, catalog_search_empty_term,
-        changes_inserted_without_id,
+        changes_inserted_without_id, catalog_search_indexed, catalog_pages, changes_tally, history_tombstones,
     )
 }
