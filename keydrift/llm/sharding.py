@@ -4,33 +4,45 @@ A key belongs to the next virtual node clockwise of its hash. A shard takes as m
 that find it full go on clockwise. The bounds add up to the number of keys and differ by one at most, so all
 shards end full: their counts are at most one apart (law `rows`).
 
-Which keys overflow follows from the counts per arc alone, arcs being as many as virtual nodes: a table of
-fixed size. The keys of an arc are ranked in the order of their hashes, in small cells that are ranked apart.
+Which keys overflow follows from the counts per arc alone, arcs being as many as virtual nodes: a table whose size
+the number of shards sets. The keys of an arc are ranked in the order of their hashes, in small cells that are ranked
+apart; equal rows, of which there may be any number, are counted off in several salts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Virtual nodes of a shard, places on the ring, and cells of an arc in which keys are ranked.
-VIRTUAL, PLACES, CELLS = 64, 1 << 14, 32
+from keydrift.llm.common import saved
 
+#: Virtual nodes of a shard, cells of an arc in which keys are ranked, and salts of equal rows.
+VIRTUAL, CELLS, SALTS = 64, 32, 64
+#: Positions on the ring are whole numbers of so many bits.
+BITS = 63
 
-def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> DataFrame:
-    """place, arc, shard: for every place of the ring the virtual node that comes next clockwise."""
-    nodes = spark.range(shards).select(
-        F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))).alias("copy")
-    )
-    # A place holds one node at most: of several that fall there, the others go to no place.
-    nodes = nodes.select("shard", F.pmod(F.xxhash64("shard", "copy"), F.lit(PLACES)).alias("place"))
-    nodes = nodes.groupBy("place").agg(F.min("shard").alias("shard"))
-    at = spark.range(PLACES).select(F.col("id").alias("place")).join(nodes, "place", "left")
-    node = F.when(F.col("shard").isNotNull(), F.struct(F.col("place").alias("arc"), "shard"))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ahead = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
-    next_node = F.coalesce(F.last(node, ignorenulls=True).over(ahead), F.min(node).over(every))
-    return at.select("place", next_node.alias("node")).select("place", "node.arc", "node.shard")
+
+def position(*columns):
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS)
+
+
+def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
+    """(position, shard) of every virtual node, clockwise; an arc is named by its node's place in this list."""
+    copies = F.explode(F.sequence(F.lit(0), F.lit(virtual - 1))).alias("copy")
+    nodes = spark.range(shards).select(F.col("id").alias("shard"), copies)
+    return sorted((r.at, r.shard) for r in nodes.select(position("shard", "copy").alias("at"), "shard").collect())
+
+
+def sectors(spark: SparkSession, nodes: list[tuple[int, int]]) -> tuple[DataFrame, int]:
+    """The ring cut into equal sectors, four or more for each node: sector, first_arc (of the first node in or after
+    it), inside (positions of the nodes in it); and by how many bits a position is shifted to give its sector."""
+    shift = BITS - max(10, (4 * len(nodes)).bit_length())
+    at = [p for p, _ in nodes]
+    edges = [bisect_left(at, sector << shift) for sector in range((1 << BITS - shift) + 1)]
+    rows = [(sector, begin, at[begin:end]) for sector, (begin, end) in enumerate(zip(edges, edges[1:]))]
+    return spark.createDataFrame(rows, "sector long, first_arc long, inside array<long>"), shift
 
 
 def overflow(arcs: list[tuple[int, int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
@@ -55,18 +67,6 @@ def overflow(arcs: list[tuple[int, int, int]], shards: int) -> list[tuple[int, i
             if stop < end:
                 still.append((i, stop, end))
         waiting, hop = still, hop + 1
-        if hop > len(arcs):  # shards that no place holds
-            spare = [s for s in range(shards) if room[s]]
-            for i, begin, end in waiting:
-                while begin < end:
-                    shard = spare[0]
-                    stop = min(end, begin + room[shard])
-                    out.append((arcs[i][0], begin, stop, shard, taken[shard]))
-                    room[shard] -= stop - begin
-                    taken[shard] += stop - begin
-                    begin = stop
-                    spare = spare if room[shard] else spare[1:]
-            waiting = []
     return out
 
 
@@ -75,31 +75,42 @@ def sharded(docs: DataFrame, shards: int = 24, virtual: int = VIRTUAL) -> DataFr
 
     size is the text's UTF-8 bytes plus 8, with 0 bytes for null; its checksum is then that of no bytes. The key
     is doc_id; rows without one are keyed by their text's checksum. Repeated rows are placed one by one.
-    Other columns are not read. Only counts per arc come to the driver, as many as virtual nodes.
+    Other columns are not read. Only counts per arc and cell come to the driver, as many as the shards' nodes times CELLS.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_crc32"))))
-    rows = rows.withColumn("hash", key).withColumns(
-        {"place": F.pmod(F.shiftright("hash", 8), F.lit(PLACES)), "cell": F.pmod(F.xxhash64("hash", "text_crc32"), F.lit(CELLS))}
+    key = position(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text_crc32"))))
+    nodes = ring(spark, shards, virtual)
+    parts, shift = sectors(spark, nodes)
+    rows = rows.withColumn("at", key).withColumns(
+        {
+            "sector": F.shiftright("at", shift),
+            "cell": F.pmod(F.xxhash64("at", "text_crc32"), F.lit(CELLS)),
+            "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)),
+        }
     )
-    places = ring(spark, shards, virtual)
-    rows = rows.join(F.broadcast(places.select("place", "arc")), "place").drop("place")  # PLACES rows
+    passed = F.size(F.filter("inside", lambda node: node < F.col("at")))
+    rows = rows.join(F.broadcast(parts), "sector").withColumn("arc", (F.col("first_arc") + passed) % len(nodes))
+    # Written, since a salt follows from where a row was read and must not change when a task runs again.
+    rows = saved(rows.drop("sector", "first_arc", "inside"), "shards")
     counts = rows.groupBy("arc", "cell").agg(F.count(F.lit(1)).alias("keys"))
-    known = {(r.arc, r.cell): r["keys"] for r in counts.collect()}  # at most CELLS for each virtual node
-    owners = sorted({(r.arc, r.shard) for r in places.select("arc", "shard").distinct().collect()})
-    arcs = [(arc, shard, sum(known.get((arc, c), 0) for c in range(CELLS))) for arc, shard in owners]
+    known = {(r.arc, r.cell): r["keys"] for r in counts.collect()}
+    arcs = [(arc, shard, sum(known.get((arc, c), 0) for c in range(CELLS))) for arc, (_, shard) in enumerate(nodes)]
     before, starts = {}, []
     for (arc, cell), n in sorted(known.items()):
         starts.append((arc, cell, before.get(arc, 0)))
         before[arc] = before.get(arc, 0) + n
     cells = spark.createDataFrame(starts, "arc long, cell long, earlier long")
-    parts = spark.createDataFrame(overflow(arcs, shards), "arc long, first long, end long, shard int, slots long")
-    inside = Window.partitionBy("arc", "cell").orderBy("hash", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(cells), ["arc", "cell"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("earlier"))
-    placed = ranked.join(F.broadcast(parts), ["arc"]).where("rank >= first and rank < end")
+    taken = spark.createDataFrame(overflow(arcs, shards), "arc long, first long, end long, shard int, slots long")
+    equal = ["arc", "cell", "at", "text_crc32", "size", "salt"]
+    inside = Window.partitionBy("arc", "cell").orderBy("at", "text_crc32", "size", "salt")
+    lots = rows.groupBy(*equal).agg(F.count(F.lit(1)).alias("n"))
+    lots = lots.withColumn("ahead", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    ranked = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*equal).orderBy("doc_id")) - 1)
+    ranked = ranked.join(lots.drop("n"), equal).join(F.broadcast(cells), ["arc", "cell"])
+    ranked = ranked.withColumn("rank", F.col("turn") + F.col("ahead") + F.col("earlier"))
+    placed = ranked.join(F.broadcast(taken), ["arc"]).where("rank >= first and rank < end")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("slots") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

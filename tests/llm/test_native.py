@@ -4,13 +4,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 import xxhash
 from llm_rows import edge_rows, rows_of, words
 from pyspark.sql import functions as F
 
 from keydrift.llm import fingerprints as f
 from keydrift.llm import license_scan as scan
-from keydrift.llm.sharding import overflow, sharded
+from keydrift.llm.sharding import BITS, CELLS, overflow, ring, sharded
 
 
 def scanned(text):
@@ -73,6 +74,42 @@ def test_shards_hold_equal_counts(spark, edges, clashing, nothing):
     assert sorted(Counter(r.shard for r in sharded(same).collect()).values()) == [4] * 20 + [5] * 4
 
 
+@pytest.mark.parametrize("shards", [3, 24])
+def test_shards_equal_a_replay_of_the_ring(spark, shards):
+    """Hash, ring and overflow key by key in plain Python; equal rows may change places."""
+    texts = [(i % 400 if i % 3 else 7, f"t{i % 400 if i % 3 else 7}") for i in range(1500)] + [(None, "same")] * 300
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    nodes = sorted(
+        (xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(s.to_bytes(8, "little"), 42)) >> 1, s)
+        for s in range(shards) for k in range(64)
+    )
+    assert nodes == ring(spark, shards) and max(p for p, _ in nodes) < 1 << BITS
+    arcs = [[] for _ in nodes]
+    for doc_id, text in texts:
+        crc = zlib.crc32(text.encode())
+        at = xxhash.xxh64_intdigest((str(doc_id) if doc_id is not None else f"text {crc}").encode(), 42)
+        cell = xxhash.xxh64_intdigest(crc.to_bytes(8, "little"), xxhash.xxh64_intdigest((at >> 1).to_bytes(8, "little"), 42))
+        cell -= (cell >> 63) << 64
+        arc = next((i for i, (p, _) in enumerate(nodes) if p >= at >> 1), 0)
+        arcs[arc].append((cell % CELLS, at >> 1, crc, doc_id))
+    room = [len(texts) // shards + (s < len(texts) % shards) for s in range(shards)]
+    taken, expected = [0] * shards, []
+    waiting = [sorted(a, key=lambda row: row[:3]) for a in arcs]
+    for hop in range(len(nodes)):
+        for i in range(len(nodes)):
+            shard = nodes[(i + hop) % len(nodes)][1]
+            while waiting[i] and taken[shard] < room[shard]:
+                expected.append((str(waiting[i].pop(0)[3]), shard, taken[shard]))
+                taken[shard] += 1
+    assert sorted((str(r.doc_id), r.shard, r.slot) for r in sharded(docs, shards).collect()) == sorted(expected)
+
+
+def test_many_shards_all_have_arcs(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(3000)], "doc_id long, text string")
+    assert sorted(Counter(r.shard for r in sharded(docs, 700).collect()).values()) == [4] * 500 + [5] * 200
+    assert {s for _, s in ring(spark, 700)} == set(range(700))
+
+
 def test_overflow_goes_on_clockwise():
     # Arc 10 of shard 0 has too many keys: shard 1 comes next, then shard 2.
     parts = overflow([(10, 0, 7), (20, 1, 1), (30, 2, 1)], 3)
