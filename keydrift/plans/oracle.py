@@ -320,3 +320,7 @@ ORACLE["history_tombstones"] = f"""{DIFF} SELECT pair_id, CASE WHEN pair_id % 3
     THEN TIMESTAMP '2024-05-02 00:00:00' ELSE TIMESTAMP '2024-05-01 00:00:00' END AS ts,
     seq AS batch_seq, {PATH}, value_json FROM missing JOIN orders ON o_orderkey = pair_id
   WHERE pair_id % 10 <> 0 AND (pair_id % 3 = 0 OR o_orderstatus <> 'F')"""
+
+# Two feeds in batches give what all logins together give.
+ORACLE["users_streamed"] = ORACLE["users_provisioned"]
+ORACLE["users_streamed_refused"] = ORACLE["users_refused"]

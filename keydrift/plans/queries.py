@@ -13,7 +13,7 @@ from keydrift.operators.merge import import_all, import_selected
 from keydrift.operators.validate import is_valid_json, json_error, with_status
 from keydrift.plans import workload as w
 from keydrift.sources.shared import new_folder, stored
-from keydrift.streaming import heavy
+from keydrift.streaming import heavy, logins
 from keydrift.streaming.streams import missing_against_baselines
 
 
@@ -389,6 +389,27 @@ def users_refused(spark, folder) -> DataFrame:
     return users.provision(w.profiles(spark, folder), w.logins(spark, folder))[1]
 
 
+def _streamed_logins(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Two feeds that bring the same ids and emails, later logins first: each in batches, then both told together."""
+    every, log = w.logins(spark, folder), new_folder(spark, "login-log")
+    for feed, mine in (("web", "login_no % 3 = 0"), ("desk", "login_no % 3 <> 0")):
+        arriving = new_folder(spark, "logins")
+        late = every.where(mine).repartitionByRange(4, F.col("login_at").desc())
+        late.write.parquet(arriving)
+        stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 2).parquet(arriving)
+        writer = logins.login_log_writer(stream, log, feed, new_folder(spark, "login-state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return logins.provisioned(spark, w.profiles(spark, folder), log)
+
+
+def users_streamed(spark, folder) -> DataFrame:
+    return _streamed_logins(spark, folder)[0].select("id", "email", "role", "create_by", "create_at")
+
+
+def users_streamed_refused(spark, folder) -> DataFrame:
+    return _streamed_logins(spark, folder)[1]
+
+
 def users_gate(spark, folder) -> DataFrame:
     requests = w.logins(spark, folder).selectExpr("login_no", "id AS actor")
     return users.gate(requests, w.profiles(spark, folder))
@@ -405,7 +426,7 @@ QUERIES = {
         pair_status, catalog_newest_first, catalog_search_listed, catalog_search_everything,
         catalog_search_literal, catalog_search_notes, catalog_facet_values, catalog_row_counts,
         changes_checked, changes_insert_defaults, changes_violations, changes_applied, changes_tied,
-        users_profiles, users_provisioned, users_refused, users_gate, history_selected, hard_missing_keys,
+        users_profiles, users_provisioned, users_refused, users_streamed, users_streamed_refused, users_gate, history_selected, hard_missing_keys,
         hard_counts, hard_import_all, hard_status, catalog_listing, catalog_search_empty_term,
         changes_inserted_without_id, catalog_search_indexed, catalog_pages, changes_tally, history_tombstones,
     )

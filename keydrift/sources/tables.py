@@ -27,12 +27,17 @@ def document_pairs(spark: SparkSession, target_dir: str, source_dir: str) -> Dat
     """
 
     def side(folder: str, column: str) -> DataFrame:
-        file = F.col("_metadata.file_name")
-        stem = F.regexp_replace(file, r"\.[^.]*$", "")
         read = spark.read.text(folder, wholetext=True)
-        return read.select(file.alias("file"), stem.alias("stem"), F.col("value").alias(column))
+        # The name comes as in a URL, but for the plus sign.
+        file = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
+        return read.select(file.alias("file"), F.col("value").alias(column))
 
-    targets, sources = side(target_dir, "target_json"), side(source_dir, "source_json")
+    return paired(side(target_dir, "target_json"), side(source_dir, "source_json"))
+
+
+def paired(targets: DataFrame, sources: DataFrame) -> DataFrame:
+    """The files (``file`` and columns of their own) of two folders side by side, named as :func:`document_pairs` says."""
+    targets, sources = (s.withColumn("stem", F.regexp_replace("file", r"\.[^.]*$", "")) for s in (targets, sources))
     repeated = [s.groupBy("stem").count().where("count > 1").select("stem") for s in (targets, sources)]
     repeated = repeated[0].union(repeated[1]).distinct().withColumn("_repeated", F.lit(True))
 

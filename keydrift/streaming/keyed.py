@@ -18,6 +18,11 @@ STATE = "spark.sql.streaming.stateStore"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    spark.conf.set(f"{STATE}.providerClass", ROCKS)
+    spark.conf.set(f"{STATE}.rocksdb.allowFAllocate", "false")
+
+
 def _event_schema(fields: tuple[str, ...]) -> StructType:
     """What is remembered of an insert or an update, in the order in which equal ``seq`` are told apart."""
     texts = [StructField(name, StringType()) for name in fields]
@@ -140,9 +145,7 @@ def keyed_rows(changes: DataFrame, base: DataFrame, fields: tuple[str, ...]) ->
 
 def keyed_catalog_writer(changes: DataFrame, base: DataFrame, fields: tuple[str, ...], path: str, checkpoint: str) -> DataStreamWriter:
     """Write the rows that each micro-batch changes to a folder of its own; one that runs again replaces its folder."""
-    conf = changes.sparkSession.conf
-    conf.set(f"{STATE}.providerClass", ROCKS)
-    conf.set(f"{STATE}.rocksdb.allowFAllocate", "false")
+    keep_state_on_disk(changes.sparkSession)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -47,7 +47,7 @@ def history_writer(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWri
     )
 
 
-def change_log_writer(changes: DataFrame, log: str, feed: str, checkpoint: str) -> DataStreamWriter:
+def change_log_writer(changes: DataFrame, log: str, feed: str, checkpoint: str, mode: str = "append") -> DataStreamWriter:
     """Append the change feed named ``feed`` to a log with one folder per feed and micro-batch.
 
     A batch that runs again replaces its own folder, so the log holds each change once. A feed
@@ -69,7 +69,7 @@ def change_log_writer(changes: DataFrame, log: str, feed: str, checkpoint: str)
 
     return (
         changes.writeStream.foreachBatch(store)
-        .outputMode("append")
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
     )
 
