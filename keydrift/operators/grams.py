@@ -19,6 +19,8 @@ from keydrift.operators.catalog import contains_text, matches_facet, newest_firs
 FOLDER_ROWS, MOST_FOLDERS = 2_000, 256
 #: Grams of a term that are looked up; the rarest ones leave few candidates.
 LOOKED_UP = 4
+#: Tasks and files that the postings of one folder are dealt out to by a hash of the id.
+SALTS = 8
 
 
 def grams_of(text: Column) -> Column:
@@ -54,7 +56,9 @@ class GramIndex:
 def write_index(catalog: DataFrame, columns: tuple[str, ...], path: str, folders: int | None = None) -> GramIndex:
     """Index the text ``columns`` of a catalog with an ``id``, NULL ids included.
 
-    ``folders`` follows from the number of rows where it is not given. Rows and postings are laid out by ranges that end in the id, so a frequent gram fills several tasks and files.
+    ``folders`` follows from the number of rows where it is not given. Rows are laid out by ranges that end in the id. Postings are
+    dealt out by hash, so that grams are not taken from the texts once more to find ranges; by a hash of the id too, so
+    that a frequent gram fills several tasks and files.
     """
     folders = folders or min(MOST_FOLDERS, 1 + catalog.count() // FOLDER_ROWS)
     spark, index = catalog.sparkSession, GramIndex(path, columns, catalog.schema, folders)
@@ -62,7 +66,7 @@ def write_index(catalog: DataFrame, columns: tuple[str, ...], path: str, folders
     shelved.sortWithinPartitions("shelf", "id").write.partitionBy("shelf").parquet(f"{path}/rows")
     grams = F.array_distinct(F.concat(*(grams_of(F.col(name)) for name in columns)))
     postings = catalog.select(F.explode(grams).alias("gram"), "id").withColumn("part", _folder(F.col("gram"), folders))
-    postings = postings.repartitionByRange("part", "gram", "id").sortWithinPartitions("part", "gram", "id")
+    postings = postings.repartition("part", _folder(F.col("id"), SALTS)).sortWithinPartitions("part", "gram", "id")
     postings.write.partitionBy("part").parquet(f"{path}/postings")
     counts = index.postings(spark).groupBy("part", "gram").agg(F.count("*").alias("n_rows"))
     counts.repartition("part").sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(f"{path}/frequencies")
