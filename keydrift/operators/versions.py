@@ -35,24 +35,33 @@ def _tree(document: Column) -> Column:
     root = F.struct(F.array().cast("array<string>").alias("path"), document.alias("value"))
     start = F.struct(F.array().cast(_BRANCHES).alias("found"), F.array(root).cast(_OPEN).alias("open"))
 
-    def members(node: Column) -> Column:
-        return F.transform(
-            F.map_entries(open_target(node["value"])),
-            lambda e: F.struct(F.concat(node["path"], F.array(key_text(e["key"]))).alias("path"), e["value"].alias("value")),
-        )
-
     def branch(node: Column) -> Column:
-        keys = F.transform(F.map_keys(open_target(node["value"])), key_text)
-        digest = F.when(is_object(node["value"]), branch_digest(node["value"]))
-        return F.struct(_name(node["path"]).alias("path"), digest.alias("digest"), keys.alias("keys"))
+        """The node's branch, and its members to be opened next; both from opening it once."""
+
+        def of(members: Column) -> Column:
+            below = F.transform(
+                members,
+                lambda e: F.struct(F.array_append(node["path"], key_text(e["key"])).alias("path"), e["value"].alias("value")),
+            )
+            digest = F.when(is_object(node["value"]), branch_digest(node["value"]))
+            keys = F.transform(members, lambda e: key_text(e["key"]))
+            own = F.struct(_name(node["path"]).alias("path"), digest.alias("digest"), keys.alias("keys"))
+            return F.struct(own.alias("own"), below.alias("below"))
+
+        return let(F.map_entries(open_target(node["value"])), of)
 
     def next_level(state: Column, _: Column) -> Column:
-        opened = F.filter(state["open"], lambda n: is_object(n["value"]) | is_array(n["value"]))
-        return F.struct(
-            F.concat(state["found"], F.transform(state["open"], branch)).alias("found"), F.flatten(F.transform(opened, members)).alias("open")
+        return let(
+            F.transform(state["open"], branch),
+            lambda branches: F.struct(
+                F.flatten(F.array(state["found"], F.transform(branches, lambda b: b["own"]))).alias("found"),
+                F.flatten(F.transform(branches, lambda b: b["below"])).alias("open"),
+            ),
         )
 
-    branches = F.aggregate(levels(document), start, next_level)["found"]
+    # Scalars have a branch too, so there is a round for those of the last level.
+    rounds = F.array_append(levels(document), F.lit(0))
+    branches = F.aggregate(rounds, start, next_level)["found"]
     return F.map_from_entries(F.transform(branches, lambda b: F.struct(b["path"].alias("key"), F.struct(b["digest"].alias("digest"), b["keys"].alias("keys")).alias("value"))))
 
 
@@ -82,8 +91,8 @@ def _missing(tree: Column, source: Column) -> Column:
             members = F.transform(
                 F.map_entries(open_object(node["source"])),
                 lambda e, i: F.struct(
-                    F.concat(node["ordinal"], rank_of(key_text(e["key"]), i)).alias("ordinal"),
-                    F.concat(node["path"], F.array(key_text(e["key"]))).alias("path"),
+                    F.flatten(F.array(node["ordinal"], rank_of(key_text(e["key"]), i))).alias("ordinal"),
+                    F.array_append(node["path"], key_text(e["key"])).alias("path"),
                     e["value"].alias("source"),
                     (~F.array_contains(stored, key_text(e["key"]))).alias("missing"),
                 ),
@@ -99,7 +108,7 @@ def _missing(tree: Column, source: Column) -> Column:
         advanced = let(
             F.flatten(F.transform(state["open"], children)),
             lambda nodes: F.struct(
-                F.concat(state["found"], F.filter(nodes, lambda n: n["missing"])).alias("found"),
+                F.flatten(F.array(state["found"], F.filter(nodes, lambda n: n["missing"]))).alias("found"),
                 F.filter(nodes, lambda n: ~n["missing"]).alias("open"),
                 (state["opened"] + F.size(state["open"])).alias("opened"),
             ),
