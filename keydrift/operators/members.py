@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keydrift.functions.once import built_once
+from keydrift.functions.text import let
 from keydrift.functions.tree import (
     compact_json,
     is_object,
@@ -39,19 +40,19 @@ def _all_members(document: Column) -> Column:
         return F.transform(
             F.map_entries(open_object(node["value"])),
             lambda e, position: F.struct(
-                F.concat(node["ordinal"], rank_of(key_text(e["key"]), position)).alias(
-                    "ordinal"
-                ),
-                F.concat(node["path"], F.array(key_text(e["key"]))).alias("path"),
+                F.flatten(F.array(node["ordinal"], rank_of(key_text(e["key"]), position))).alias("ordinal"),
+                F.array_append(node["path"], key_text(e["key"])).alias("path"),
                 e["value"].alias("value"),
             ),
         )
 
     def next_level(state: Column, _: Column) -> Column:
-        deeper = F.flatten(F.transform(state["open"], members))
-        return F.struct(
-            F.concat(state["found"], deeper).alias("found"),
-            F.filter(deeper, lambda n: is_object(n["value"])).alias("open"),
+        return let(
+            F.flatten(F.transform(state["open"], members)),
+            lambda deeper: F.struct(
+                F.flatten(F.array(state["found"], deeper)).alias("found"),
+                F.filter(deeper, lambda n: is_object(n["value"])).alias("open"),
+            ),
         )
 
     return F.aggregate(levels(document), start, next_level)["found"]
@@ -101,12 +102,12 @@ def missing_members(
     members: DataFrame, paths: DataFrame, key: tuple[str, ...] = ("pair_id",)
 ) -> DataFrame:
     """Members absent from ``paths`` whose parent is present: the topmost missing ones."""
-    absent = members.join(paths, [*key, "path"], "left_anti")
-    parents = paths.withColumnRenamed("path", "parent")
-    with_parent = absent.withColumn(
-        "parent", F.slice("path", F.lit(1), F.size("path") - 1)
-    )
-    topmost = with_parent.join(parents, [*key, "parent"], "left_semi")
+    # Both joins look up the same columns under the same plan, so that the paths are made and shuffled once.
+    present = paths.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("path").alias("_present"))
+    own = [F.col(k) == F.col(f"_{k}") for k in key]
+    absent = members.join(present, [*own, F.col("path") == F.col("_present")], "left_anti")
+    parent = F.slice("path", F.lit(1), F.size("path") - 1)
+    topmost = absent.join(present, [*own, parent == F.col("_present")], "left_semi")
     return topmost.select(*key, "ordinal", "path", "value_json")
 
 
