@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keydrift.sources.schemas import NOTES, QUERIES, USERS
 
+#: Documents that one task walks, about.
+SPREAD_ROWS = 50_000
+
 
 def scan_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERIES).parquet(path)
@@ -63,12 +66,14 @@ def write_snapshot(table: DataFrame, path: str) -> None:
 
 
 def spread(frame: DataFrame, on: Column | str | None = None) -> DataFrame:
-    """Give every core work when a scan has fewer splits than the cluster has cores.
+    """Tasks of at most about ``SPREAD_ROWS`` rows, and work for every core.
 
-    Documents are heavy to walk compared with their size, so a handful of small files would
-    leave most cores idle. A scan with enough splits is returned as it is, without a shuffle.
+    Documents are heavy to walk compared with the columns they are made of, so splits by bytes would leave most cores
+    idle on a small table and hold millions of documents on a large one. The rows are counted, which files tell without
+    being read through; a scan with as many splits is returned as it is.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
+    tasks = max(cores, -(-frame.count() // SPREAD_ROWS))
+    if frame.rdd.getNumPartitions() >= tasks:
         return frame
-    return frame.repartition(cores, on) if on is not None else frame.repartition(cores)
+    return frame.repartition(tasks, on) if on is not None else frame.repartition(tasks)
