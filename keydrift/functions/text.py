@@ -42,9 +42,7 @@ def quoted(text: Column) -> Column:
     needs_escape = F.rlike(text, F.lit(r'[\x00-\x1f"\\]'))
     encoded = F.to_json(F.array(text))
     encoded = F.substring(encoded, F.lit(2), F.length(encoded) - 2)
-    return F.when(needs_escape, lower_hex_escapes(encoded)).otherwise(
-        F.concat(F.lit('"'), text, F.lit('"'))
-    )
+    return choose(needs_escape, lower_hex_escapes(encoded), F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def lower_hex_escapes(json: Column) -> Column:
@@ -70,14 +68,19 @@ def let(value: Column, body) -> Column:
     return F.aggregate(nothing, value, lambda held, _: held, body)
 
 
+def choose(condition: Column, yes: Column, no: Column) -> Column:
+    """``when(condition, yes).otherwise(no)``, in the form that costs less inside lambdas, which are interpreted."""
+    return F.call_function("if", condition, yes, no)
+
+
 def js_number(token: Column) -> Column:
     """A JSON number token as a script engine prints it: a double, shortest digits.
 
     Plain decimals from 1e-6 up to 1e21, exponent form beyond, no trailing ``.0``,
     no negative zero, and ``null`` for a value outside the double range.
     """
-    return F.when(F.rlike(token, F.lit("^(?:0|-?[1-9][0-9]{0,14})$")), token).otherwise(
-        let(token.cast("double"), _render_double)
+    return choose(
+        F.rlike(token, F.lit("^(?:0|-?[1-9][0-9]{0,14})$")), token, let(token.cast("double"), _render_double)
     )
 
 

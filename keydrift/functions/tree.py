@@ -17,6 +17,7 @@ from pyspark.sql import Column, functions as F
 from keydrift.functions.text import (
     JSON_SPACE,
     STRING_TOKEN,
+    choose,
     js_number,
     js_numbers_in,
     let,
@@ -28,6 +29,8 @@ STRING_BODY = STRING_TOKEN.replace('"[', '"([', 1)[:-1] + ')"'
 # Keys that enumerate first, in numeric order, are integers below this bound.
 INDEX_KEY = "^(?:0|[1-9][0-9]{0,9})$"
 INDEX_KEY_BOUND = 4294967295
+#: Levels of brackets that are told by replacements; deeper documents are followed bracket by bracket.
+_PEELED = 8
 #: Strict JSON without limits on the lengths of numbers and strings.
 JSON_OPTIONS = {
     "maxNumLen": "2147483647",
@@ -78,15 +81,12 @@ def open_object(value: Column) -> Column:
 
     The text comes from a document that was checked as a whole, with the same options.
     """
-    members = F.from_json(value, "map<string,string>", JSON_OPTIONS)
-    return F.map_from_entries(
-        F.transform(
-            F.map_entries(F.coalesce(members, empty_object())),
-            lambda e: F.struct(
-                e["key"].alias("key"),
-                F.coalesce(e["value"], F.lit("null")).alias("value"),
-            ),
-        )
+    members = F.coalesce(F.from_json(value, "map<string,string>", JSON_OPTIONS), empty_object())
+    return let(
+        members,
+        lambda m: F.map_from_arrays(
+            F.map_keys(m), F.transform(F.map_values(m), lambda v: F.coalesce(v, F.lit("null")))
+        ),
     )
 
 
@@ -117,14 +117,18 @@ def key_text(marked_key: Column) -> Column:
 
 
 def is_index_key(key: Column) -> Column:
-    return F.rlike(key, F.lit(INDEX_KEY)) & (key.cast("bigint") < INDEX_KEY_BOUND)
+    # Most keys begin with no digit, which takes no regular expression to tell.
+    digit_first = (key >= F.lit("0")) & (key < F.lit(":"))
+    return digit_first & F.rlike(key, F.lit(INDEX_KEY)) & (key.cast("bigint") < INDEX_KEY_BOUND)
 
 
 def rank_of(key: Column, position: Column) -> Column:
     """Two numbers that sort siblings: index keys by value, then the others by position."""
-    return F.when(
-        is_index_key(key), F.array(F.lit(0).cast("bigint"), key.cast("bigint"))
-    ).otherwise(F.array(F.lit(1).cast("bigint"), position.cast("bigint")))
+    return choose(
+        is_index_key(key),
+        F.array(F.lit(0).cast("bigint"), key.cast("bigint")),
+        F.array(F.lit(1).cast("bigint"), position.cast("bigint")),
+    )
 
 
 def paired_members(first: Column, second: Column) -> Column:
@@ -137,9 +141,26 @@ def paired_members(first: Column, second: Column) -> Column:
 
 
 def nesting_depth(value: Column) -> Column:
-    """How many brackets are open at most at any point of a JSON text."""
+    """How many brackets are open at most at any point of a JSON text.
+
+    Taking all empty pairs out of balanced brackets lowers their depth by one, so a few replacements
+    tell that of most documents. What is deeper, or not balanced, is followed bracket by bracket.
+    """
     brackets = F.regexp_replace(value, F.lit(STRING_TOKEN + r'|[^\[\]{}"]++'), F.lit(""))
-    steps = F.split(F.translate(brackets, "[]", "{}"), "")
+
+    def peeled(every: Column, rest: Column, depth: int) -> Column:
+        below = (
+            let(F.replace(rest, F.lit("{}"), F.lit("")), lambda less: peeled(every, less, depth + 1))
+            if depth < _PEELED
+            else _followed_depth(every)
+        )
+        return choose(rest == "", F.lit(depth), below)
+
+    return F.coalesce(let(F.translate(brackets, "[]", "{}"), lambda every: peeled(every, every, 0)), F.lit(0))
+
+
+def _followed_depth(brackets: Column) -> Column:
+    steps = F.split(brackets, "")
 
     def follow(state: Column, bracket: Column) -> Column:
         step = F.when(bracket == "{", 1).when(bracket == "}", -1).otherwise(0)
@@ -149,32 +170,29 @@ def nesting_depth(value: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("deepest"))
-    return F.coalesce(F.aggregate(steps, start, follow)["deepest"], F.lit(0))
+    return F.aggregate(steps, start, follow)["deepest"]
 
 
 def levels(*values: Column) -> Column:
-    """One element per level to open. Every round of a fold copies its state, so the number of
-    rounds is the documents' own depth and no more."""
-    depths = [nesting_depth(v) for v in values]
-    return F.sequence(F.lit(1), 1 + (F.greatest(*depths) if len(depths) > 1 else depths[0]))
+    """One element per level to open, and one for a scalar. Every round of a fold copies its state,
+    so the number of rounds is the documents' own depth and no more."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), *(nesting_depth(v) for v in values)))
 
 
 # --- rendering ---------------------------------------------------------------------------
 
+#: What only a line that is still to be opened has, is in ``rest``.
 _LINE = (
-    "struct<ordinal:array<int>,text:string,pad:string,tail:string,source:string,target:string,"
-    "path:array<string>,picked:array<array<string>>,hit:boolean,closed:boolean>"
+    "struct<ordinal:array<int>,text:string,source:string,path:array<string>,hit:boolean,"
+    "rest:struct<pad:string,tail:string,target:string,picked:array<array<string>>>>"
 )
 _MEMBERS = "array<struct<key:string,source:string,target:string,hit:boolean>>"
 
 
 def scalar_json(value: Column) -> Column:
     """A marked scalar as JSON text."""
-    return (
-        F.when(F.startswith(value, F.lit("s")), quoted(key_text(value)))
-        .when(F.rlike(value, F.lit("^[-0-9]")), js_number(value))
-        .otherwise(value)
-    )
+    number = choose(F.rlike(value, F.lit("^[-0-9]")), js_number(value), value)
+    return choose(F.startswith(value, F.lit("s")), quoted(key_text(value)), number)
 
 
 def compact_json(value: Column) -> Column:
@@ -212,14 +230,15 @@ def rendered_lines(
     root = _line(
         ordinal=F.array().cast("array<int>"),
         text=F.lit(""),
-        pad=F.lit(""),
-        tail=F.lit(""),
         source=source,
-        target=value,
         path=F.array().cast("array<string>"),
-        picked=F.lit(None).cast("array<array<string>>") if picked is None else picked,
         hit=F.lit(False),
-        closed=F.lit(False),
+        rest=_line(
+            pad=F.lit(""),
+            tail=F.lit(""),
+            target=value,
+            picked=F.lit(None).cast("array<array<string>>") if picked is None else picked,
+        ),
     )
     start = F.struct(
         F.array().cast(f"array<{_LINE}>").alias("found"),
@@ -230,13 +249,13 @@ def rendered_lines(
         advanced = let(
             F.flatten(F.transform(state["open"], lambda line: _expand(line, picked is not None, indent))),
             lambda lines: F.struct(
-                F.concat(state["found"], F.filter(lines, lambda line: line["closed"])).alias("found"),
-                F.filter(lines, lambda line: ~line["closed"]).alias("open"),
+                F.flatten(F.array(state["found"], F.filter(lines, lambda line: line["rest"].isNull()))).alias("found"),
+                F.filter(lines, lambda line: line["rest"].isNotNull()).alias("open"),
             ),
         )
-        return F.when(F.size(state["open"]) == 0, state).otherwise(advanced)
+        return choose(F.size(state["open"]) == 0, state, advanced)
 
-    return F.array_sort(F.aggregate(levels(source, value), start, next_level)["found"])
+    return F.sort_array(F.aggregate(levels(source, value), start, next_level)["found"])
 
 
 def _line(**fields: Column) -> Column:
@@ -258,7 +277,8 @@ def _expand(line: Column, picked: bool, indent: int) -> Column:
 
 def _contents(line: Column, picked: bool) -> Column:
     """Kind (first character) and members of a line's value after taking over missing keys."""
-    value = F.coalesce(line["target"], line["source"])
+    target = line["rest"]["target"]
+    value = F.coalesce(target, line["source"])
     as_is = F.struct(
         F.substring(value, 1, 1).alias("kind"),
         F.when(
@@ -284,8 +304,8 @@ def _contents(line: Column, picked: bool) -> Column:
     )
     shared = (
         is_object(line["source"])
-        & line["target"].isNotNull()
-        & (line["source"] != line["target"])
+        & target.isNotNull()
+        & (line["source"] != target)
     )
 
     def chosen(opened: Column) -> Column:
@@ -293,13 +313,8 @@ def _contents(line: Column, picked: bool) -> Column:
         both = F.map_zip_with(
             opened["source"], opened["target"], lambda _, a, b: F.struct(a.alias("a"), b.alias("b"))
         )
-        if not picked:
-            return F.transform(
-                F.map_entries(both),
-                lambda e: F.struct(e["key"].alias("key"), e["value"].alias("side"), F.lit(True).alias("taken")),
-            )
         here = F.transform(
-            F.filter(line["picked"], lambda p: F.size(p) == 1),
+            F.filter(line["rest"]["picked"], lambda p: F.size(p) == 1),
             lambda p: F.struct(F.concat(F.lit("s"), p[0]).alias("key"), F.lit(True).alias("value")),
         )
         marks = F.map_zip_with(
@@ -311,7 +326,12 @@ def _contents(line: Column, picked: bool) -> Column:
         )
 
     def merged(opened: Column) -> Column:
-        by_source = F.filter(
+        # Where no keys are chosen, each one is taken that the target lacks.
+        every = F.transform(
+            paired_members(opened["source"], opened["target"]),
+            lambda e: _member(key_text(e["key"]), e["value"]["a"], e["value"]["b"], e["value"]["b"].isNull()),
+        )
+        by_source = every if not picked else F.filter(
             F.transform(
                 chosen(opened),
                 lambda e: _member(
@@ -339,7 +359,7 @@ def _contents(line: Column, picked: bool) -> Column:
                 F.struct(F.lit("{").alias("kind"), ordered.alias("members")),
             )
             .when(
-                is_object(line["target"]),
+                is_object(target),
                 F.struct(F.lit("{").alias("kind"), by_target.alias("members")),
             )
             .otherwise(as_is),
@@ -347,9 +367,9 @@ def _contents(line: Column, picked: bool) -> Column:
 
     both = F.struct(
         open_object(line["source"]).alias("source"),
-        open_target(line["target"]).alias("target"),
+        open_target(target).alias("target"),
     )
-    return F.when(shared, let(both, merged)).otherwise(as_is)
+    return choose(shared, let(both, merged), as_is)
 
 
 def _enumerated(members: Column) -> Column:
@@ -362,13 +382,13 @@ def _enumerated(members: Column) -> Column:
     has_index = F.exists(
         members, lambda m: F.coalesce(is_index_key(m["key"]), F.lit(False))
     )
-    return F.when(has_index, F.concat(indexed, rest)).otherwise(members)
+    return choose(has_index, F.concat(indexed, rest), members)
 
 
 def _lines_of(line: Column, inside: Column, indent: int) -> Column:
-    kind = inside["kind"]
-    value = F.coalesce(line["target"], line["source"])
-    opening, closing = kind, F.when(kind == "{", F.lit("}")).otherwise(F.lit("]"))
+    kind, rest = inside["kind"], line["rest"]
+    value = F.coalesce(rest["target"], line["source"])
+    opening, closing = kind, choose(kind == "{", F.lit("}"), F.lit("]"))
     step, colon = " " * indent, '": ' if indent else '":'
 
     def closed(
@@ -377,27 +397,21 @@ def _lines_of(line: Column, inside: Column, indent: int) -> Column:
         return _line(
             ordinal=ordinal,
             text=text,
-            pad=F.lit(None).cast("string"),
-            tail=F.lit(None).cast("string"),
             source=F.when(hit, given),
-            target=F.lit(None).cast("string"),
             path=path,
-            picked=F.lit(None).cast("array<array<string>>"),
             hit=hit,
-            closed=F.lit(True),
+            rest=F.lit(None).cast(_LINE.partition("rest:")[2][:-1]),
         )
 
     def child(member: Column, position: Column, count: Column) -> Column:
-        pad = F.concat(line["pad"], F.lit(step))
-        label = F.when(member["key"].isNull(), F.lit("")).otherwise(
-            F.concat(quoted(member["key"]), F.lit(colon[1:]))
-        )
-        tail = F.when(position < count - 1, F.lit(",")).otherwise(F.lit(""))
-        path = F.concat(line["path"], F.array(member["key"]))
-        ordinal = F.concat(line["ordinal"], F.array(position))
+        pad = F.concat(rest["pad"], F.lit(step))
+        label = choose(member["key"].isNull(), F.lit(""), F.concat(quoted(member["key"]), F.lit(colon[1:])))
+        tail = choose(position < count - 1, F.lit(","), F.lit(""))
+        path = F.array_append(line["path"], member["key"])
+        ordinal = F.array_append(line["ordinal"], position)
         given = F.coalesce(member["target"], member["source"])
         below = F.transform(
-            F.filter(line["picked"], lambda p: (F.size(p) > 1) & (p[0] == member["key"])),
+            F.filter(rest["picked"], lambda p: (F.size(p) > 1) & (p[0] == member["key"])),
             lambda p: F.slice(p, F.lit(2), F.size(p)),
         )
         is_open = (
@@ -408,44 +422,43 @@ def _lines_of(line: Column, inside: Column, indent: int) -> Column:
         opened = _line(
             ordinal=ordinal,
             text=F.concat(pad, label),
-            pad=pad,
-            tail=tail,
             source=member["source"],
-            target=member["target"],
             path=path,
-            picked=F.when(F.size(line["picked"]) > 0, below),
             hit=member["hit"],
-            closed=F.lit(False),
+            rest=_line(
+                pad=pad, tail=tail, target=member["target"], picked=F.when(F.size(rest["picked"]) > 0, below)
+            ),
         )
         finished = closed(
             ordinal, F.concat(pad, label, scalar_json(given), tail), member["hit"], given, path
         )
-        return F.when(is_open, opened).otherwise(finished)
+        return choose(is_open, opened, finished)
 
     def container(members: Column) -> Column:
         count = F.size(members)
-        return F.when(
+        return choose(
             count == 0,
-            F.array(closed(line["ordinal"], F.concat(line["text"], opening, closing, line["tail"]), line["hit"], value)),
-        ).otherwise(
-            F.concat(
-                F.array(closed(line["ordinal"], F.concat(line["text"], opening), line["hit"], value)),
-                F.transform(members, lambda m, i: child(m, i, count)),
+            F.array(closed(line["ordinal"], F.concat(line["text"], opening, closing, rest["tail"]), line["hit"], value)),
+            F.flatten(
                 F.array(
-                    closed(
-                        F.concat(line["ordinal"], F.array(count)),
-                        F.concat(line["pad"], closing, line["tail"]),
-                        F.lit(False),
-                        value,
-                    )
-                ),
+                    F.array(closed(line["ordinal"], F.concat(line["text"], opening), line["hit"], value)),
+                    F.transform(members, lambda m, i: child(m, i, count)),
+                    F.array(
+                        closed(
+                            F.array_append(line["ordinal"], count),
+                            F.concat(rest["pad"], closing, rest["tail"]),
+                            F.lit(False),
+                            value,
+                        )
+                    ),
+                )
             )
         )
 
-    return F.when(
-        kind.isin("{", "["), let(_enumerated(inside["members"]), container)
-    ).otherwise(
+    return choose(
+        kind.isin("{", "["),
+        let(_enumerated(inside["members"]), container),
         F.array(
-            closed(line["ordinal"], F.concat(line["text"], scalar_json(value), line["tail"]), line["hit"], value)
+            closed(line["ordinal"], F.concat(line["text"], scalar_json(value), rest["tail"]), line["hit"], value)
         )
     )

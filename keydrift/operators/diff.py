@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keydrift.functions.once import built_once
-from keydrift.functions.text import let
+from keydrift.functions.text import choose, let
 from keydrift.functions.tree import (
     compact_json,
     is_object,
@@ -13,7 +13,6 @@ from keydrift.functions.tree import (
     levels,
     open_object,
     open_target,
-    paired_members,
     rank_of,
 )
 from keydrift.operators.validate import error_of, has_shape, valid_marks
@@ -41,13 +40,13 @@ def missing_nodes(target: Column, source: Column) -> Column:
         advanced = let(
             F.flatten(F.transform(state["open"], _missing_or_open)),
             lambda nodes: F.struct(
-                F.concat(state["found"], F.filter(nodes, _is_missing)).alias("found"),
+                F.flatten(F.array(state["found"], F.filter(nodes, _is_missing))).alias("found"),
                 F.filter(nodes, lambda n: ~_is_missing(n)).alias("open"),
             ),
         )
-        return F.when(F.size(state["open"]) == 0, state).otherwise(advanced)
+        return choose(F.size(state["open"]) == 0, state, advanced)
 
-    return F.array_sort(F.aggregate(levels(source), start, next_level)["found"])
+    return F.sort_array(F.aggregate(levels(source), start, next_level)["found"])
 
 
 def _is_missing(node: Column) -> Column:
@@ -56,36 +55,60 @@ def _is_missing(node: Column) -> Column:
 
 def _missing_or_open(node: Column) -> Column:
     """Members of a source object that the target lacks, or that both sides must open."""
+
+    def named(key: Column, position: Column, sides: Column) -> Column:
+        return F.struct(
+            F.flatten(F.array(node["ordinal"], rank_of(key, position))).alias("ordinal"),
+            F.array_append(node["path"], key).alias("path"),
+            sides["source"].alias("source"),
+            sides["target"].alias("target"),
+        )
+
     members = F.transform(
-        paired_members(open_object(node["source"]), open_target(node["target"])),
-        lambda e, position: F.struct(
-            e["key"].alias("key"),
-            position.alias("position"),
-            e["value"]["a"].alias("source"),
-            e["value"]["b"].alias("target"),
-        ),
-    )
-    kept = F.filter(
-        members,
-        lambda m: m["source"].isNotNull()
-        & (
-            m["target"].isNull()
-            | (is_object(m["source"]) & (m["source"] != m["target"]))
-        ),
+        F.map_entries(_kept_sides(node)),
+        lambda e, position: F.when(e["value"].isNotNull(), named(key_text(e["key"]), position, e["value"])),
     )
-    return F.transform(
-        kept,
-        lambda m: F.struct(
-            F.concat(
-                node["ordinal"], rank_of(key_text(m["key"]), m["position"])
-            ).alias("ordinal"),
-            F.concat(node["path"], F.array(key_text(m["key"]))).alias("path"),
-            m["source"].alias("source"),
-            m["target"].alias("target"),
+    return F.filter(members, lambda m: m.isNotNull())
+
+
+def _kept_sides(node: Column) -> Column:
+    """Both sides of every member of a source object that the target lacks or that must be opened, NULL for the others.
+
+    The members come in the source's order, the target's own behind them.
+    """
+    return F.map_zip_with(
+        open_object(node["source"]),
+        open_target(node["target"]),
+        lambda _, source, target: F.when(
+            source.isNotNull() & (target.isNull() | (is_object(source) & (source != target))),
+            F.struct(source.alias("source"), target.alias("target")),
         ),
     )
 
 
+def missing_count(target: Column, source: Column) -> Column:
+    """How many nodes :func:`missing_nodes` has, counted on the way without places and paths."""
+    root = F.struct(source.alias("source"), target.alias("target"))
+    start = F.struct(F.lit(0).alias("found"), F.array(root).alias("open"))
+
+    def next_level(state: Column, _: Column) -> Column:
+        inside = F.transform(
+            state["open"], lambda node: F.filter(F.map_values(_kept_sides(node)), lambda m: m.isNotNull())
+        )
+        advanced = let(
+            F.flatten(inside),
+            lambda nodes: let(
+                F.filter(nodes, lambda n: ~_is_missing(n)),
+                lambda deeper: F.struct(
+                    (state["found"] + F.size(nodes) - F.size(deeper)).alias("found"), deeper.alias("open")
+                ),
+            ),
+        )
+        return choose(F.size(state["open"]) == 0, state, advanced)
+
+    return F.aggregate(levels(source), start, next_level)["found"]
+
+
 def marked_pairs(pairs: DataFrame, keep: tuple[str, ...], gate: Column | None = None) -> DataFrame:
     """``keep…, target, source, status``: marked sides of the pairs that can be walked, NULL for the others.
 
@@ -145,5 +168,7 @@ def missing_counts(pairs: DataFrame, keep: tuple[str, ...] = ("pair_id",)) -> Da
 
     ``status`` names the fault of a side that could not be read, whose pair has no count but zero.
     """
-    found = F.when(F.col("missing").isNotNull(), F.size("missing")).otherwise(0)
-    return _walked(pairs, keep).select(*keep, found.cast("bigint").alias("n_missing"), "status")
+    require_settings(pairs.sparkSession)
+    counted = built_once("missing_count", lambda: missing_count(F.col("target"), F.col("source")))
+    found = F.when(F.col("target").isNotNull(), counted).otherwise(0)
+    return marked_pairs(pairs, keep).select(*keep, found.cast("bigint").alias("n_missing"), "status")

@@ -69,19 +69,14 @@ def _merged(pairs: DataFrame, keep: tuple[str, ...], picked: str | None) -> Data
     )
     numbered = F.transform(
         "lines",
-        lambda line, position: F.struct(
-            line["path"].alias("path"),
-            (position + 1).alias("line_no"),
-            line["source"].alias("source"),
-            line["hit"].alias("hit"),
-        ),
-    )
-    hits = F.transform(
-        F.filter(numbered, lambda n: n["hit"]),
-        lambda n: F.struct(
-            n["path"].alias("path"), n["line_no"].alias("line_no"), n["source"].alias("source")
+        lambda line, position: F.when(
+            line["hit"],
+            F.struct(
+                line["path"].alias("path"), (position + 1).alias("line_no"), line["source"].alias("source")
+            ),
         ),
     )
+    hits = F.filter(numbered, lambda n: n.isNotNull())
     located = printed.select(
         *keep,
         "target_json",
