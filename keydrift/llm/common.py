@@ -108,14 +108,18 @@ def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        # A worker that waits for its next task gives back what the last one freed.
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        given_back()  # a worker that waits for its next task holds nothing that the last one freed
 
     return frame.mapInArrow(tidy, schema)
 
 
+def given_back() -> None:
+    """Return freed memory of this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column, nulls as empty, and the n + 1 places where its values begin and end."""
     column = column.cast(pa.large_string()).fill_null("")
@@ -152,6 +156,8 @@ def kept_by_worker(name: str, make: Callable[[], object]) -> object:
     store = sys.modules.setdefault("keydrift_worker", types.ModuleType("keydrift_worker"))
     if getattr(store, "kept_name", None) != name:
         store.kept = store.kept_name = None
+        given_back()  # what was kept before, and below what making took for a while
         store.kept = make()
+        given_back()
         store.kept_name = name
     return store.kept

@@ -27,7 +27,7 @@ LENGTH, END, WINDOW = 4096, 2, 1 << 20
 QUADRATIC = 1 / 1024
 #: Words of at most LONG characters whose ids a worker remembers (some 200 bytes each), and bytes of text whose new
 #: words are encoded together.
-REMEMBERED, LONG, TOGETHER = 60_000, 64, 500_000
+REMEMBERED, LONG, TOGETHER = 60_000, 64, 200_000
 
 _LETTERS, _DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
 #: The tokenizer's own split, for texts of letters whose lower case is one of these letters again.

@@ -75,3 +75,13 @@ def test_empty_table(spark, tmp_path, nothing):
     for _, stage in pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_worker_gives_back_memory_around_making_what_it_keeps(monkeypatch):
+    from keydrift.llm import common
+
+    done = []
+    monkeypatch.setattr(common, "given_back", lambda: done.append("given back"))
+    for name in ("first", "first", "second"):
+        assert common.kept_by_worker(f"test {name}", lambda: done.append("made") or name) == name
+    assert done == ["given back", "made", "given back"] * 2
