@@ -160,8 +160,8 @@ def lines_highlighted(spark, folder) -> DataFrame:
 
 def _history(spark, folder, kind=history.ALL, condition="true", pairs=None) -> DataFrame:
     # Ordered before the walk, which keeps the order: sorting its rows would walk every pair twice.
-    pairs = w.config_pairs(spark, folder) if pairs is None else pairs
-    found = missing_keys(pairs.orderBy("pair_id")).where(condition)
+    pairs = w.config_pairs(spark, folder, in_order=True) if pairs is None else pairs.orderBy("pair_id")
+    found = missing_keys(pairs).where(condition)
     at = F.to_timestamp(F.lit("2024-05-01 00:00:00"))
     return history.history_rows(found, kind, at)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keydrift.plans.session import configure
-from keydrift.sources.tables import spread
+from keydrift.sources.tables import ordered, spread
 
 # The same expressions run in Spark and in the checking SQL.
 SOURCE_JSON = """'{"key":' || o_orderkey || ',"cust":{"id":' || o_custkey || ',"tier":"'
@@ -44,8 +44,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def config_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spread(table(spark, folder, "orders"))
+def config_pairs(spark: SparkSession, folder: str, in_order: bool = False) -> DataFrame:
+    """Orders as pairs of documents; ``in_order`` sorts them by pair before the documents are made."""
+    orders = table(spark, folder, "orders")
+    orders = ordered(orders, "o_orderkey") if in_order else spread(orders)
     return orders.selectExpr(
         "o_orderkey AS pair_id", f"{TARGET_JSON} AS target_json", f"{SOURCE_JSON} AS source_json"
     )

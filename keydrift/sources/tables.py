@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from keydrift.sources.schemas import NOTES, QUERIES, USERS
 
 #: Documents that one task walks, about.
-SPREAD_ROWS = 50_000
+SPREAD_ROWS = 20_000
 
 
 def scan_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -65,6 +65,16 @@ def write_snapshot(table: DataFrame, path: str) -> None:
     table.write.mode("errorifexists").parquet(path)
 
 
+def _tasks(frame: DataFrame) -> int:
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-frame.count() // SPREAD_ROWS))
+
+
+def ordered(frame: DataFrame, by: str) -> DataFrame:
+    """The rows in order, in tasks like those of :func:`spread`. Adaptive execution leaves their number as it is."""
+    return frame.repartitionByRange(_tasks(frame), by).sortWithinPartitions(by)
+
+
 def spread(frame: DataFrame, on: Column | str | None = None) -> DataFrame:
     """Tasks of at most about ``SPREAD_ROWS`` rows, and work for every core.
 
@@ -72,8 +82,7 @@ def spread(frame: DataFrame, on: Column | str | None = None) -> DataFrame:
     idle on a small table and hold millions of documents on a large one. The rows are counted, which files tell without
     being read through; a scan with as many splits is returned as it is.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    tasks = max(cores, -(-frame.count() // SPREAD_ROWS))
+    tasks = _tasks(frame)
     if frame.rdd.getNumPartitions() >= tasks:
         return frame
     return frame.repartition(tasks, on) if on is not None else frame.repartition(tasks)
