@@ -15,7 +15,7 @@ from keydrift.functions.tree import (
     open_target,
     rank_of,
 )
-from keydrift.operators.validate import error_of, has_shape, valid_marks
+from keydrift.operators.validate import error_of, has_shape, json_error, valid_marks
 from keydrift.plans.session import require_settings
 
 _NODES = "array<struct<ordinal:array<bigint>,path:array<string>,source:string,target:string>>"
@@ -113,7 +113,7 @@ def marked_pairs(pairs: DataFrame, keep: tuple[str, ...], gate: Column | None =
     """``keep…, target, source, status``: marked sides of the pairs that can be walked, NULL for the others.
 
     Each side is parsed once. ``status`` names the fault of a side that could not be read. Pairs that fail ``gate``
-    have no marks, but a status.
+    have no marks, but a status; they are parsed for it alone, so not at all where nobody asks for it.
     """
     # Gated by columns, not by a filter: a filter on the texts would be pushed below the step
     # that builds them and build them once more for every mention.
@@ -121,14 +121,18 @@ def marked_pairs(pairs: DataFrame, keep: tuple[str, ...], gate: Column | None =
     shaped = has_shape(target, source) if gate is None else has_shape(target, source) & gate
     needed = list(dict.fromkeys([*keep, "target_json", "source_json"]))
     read = pairs.select(
-        *needed, shaped.alias("_shaped"), valid_marks(target).alias("_target"), valid_marks(source).alias("_source")
+        *needed,
+        shaped.alias("_shaped"),
+        F.when(shaped, valid_marks(target)).alias("_target"),
+        F.when(shaped, valid_marks(source)).alias("_source"),
     )
-    ready = F.col("_shaped") & F.col("_target").isNotNull() & F.col("_source").isNotNull()
+    ready = F.col("_target").isNotNull() & F.col("_source").isNotNull()
+    read_error = F.coalesce(error_of(target, F.col("_target")), error_of(source, F.col("_source")))
     return read.select(
         *keep,
         F.when(ready, F.col("_target")).alias("target"),
         F.when(ready, F.col("_source")).alias("source"),
-        F.coalesce(error_of(target, F.col("_target")), error_of(source, F.col("_source"))).alias("status"),
+        F.when(F.col("_shaped"), read_error).otherwise(F.coalesce(json_error(target), json_error(source))).alias("status"),
     )
 
 

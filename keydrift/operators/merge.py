@@ -9,6 +9,8 @@ from keydrift.functions.tree import compact_json, rendered_lines
 from keydrift.operators.diff import marked_pairs, missing_keys
 from keydrift.plans.session import require_settings
 
+#: Chosen paths of one pair that are gathered as they come; of pairs with more, those of missing keys alone.
+GATHERED = 1_000
 _HITS = "array<struct<path:array<string>,line_no:int,source:string>>"
 
 
@@ -30,15 +32,17 @@ def import_selected(
 ) -> DataFrame:
     """Only the selected missing keys taken over; ``selection`` has ``key`` and ``path``.
 
-    A path that is no missing key of its pair has no effect and is dropped before the paths of
-    one pair are gathered into its row; so they are bounded by the keys of one document. Pairs
-    without a selected path are not walked.
+    A path that is no missing key of its pair has no effect. Where a pair has many paths, such ones are dropped
+    before its paths are gathered into its row; so they are bounded by ``GATHERED`` or the keys of one document.
+    Pairs without a selected path are not walked.
     """
-    selection = selection.select(key, "path").distinct()
-    asked = pairs.join(selection.select(key).distinct(), key, "left_semi")
+    selection = selection.select(key, "path").where(~F.exists("path", lambda k: k.isNull())).distinct()
+    many = selection.groupBy(key).count().where(F.col("count") > GATHERED).select(key)
+    few = selection.join(many, key, "left_anti")
+    asked = pairs.join(many, key, "left_semi")
     known = missing_keys(asked, keep=(key,)).select(key, "path")
-    selection = selection.join(known, [key, "path"], "left_semi")
-    picked = selection.groupBy(key).agg(F.collect_list("path").alias("picked"))
+    rest = selection.join(many, key, "left_semi").join(known, [key, "path"], "left_semi")
+    picked = few.unionByName(rest).groupBy(key).agg(F.collect_list("path").alias("picked"))
     none = F.array().cast("array<array<string>>")
     chosen = pairs.join(picked, key, "left").withColumn("picked", F.coalesce("picked", none))
     return _merged(chosen, keep, "picked")
