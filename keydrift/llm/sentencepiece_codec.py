@@ -9,7 +9,8 @@ merging leaves its two pieces apart; then one path is left for each place, and i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,24 @@ SPACE = "▁"
 REMEMBERED, LONG = 400_000, 48
 #: Before the first piece; a character in no piece, which joins nothing.
 NOTHING, UNKNOWN = -1, -2
-#: A run of spaces and what follows up to the next space: no piece goes beyond its end.
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+
+
+def segments(pieces: Iterable[str]) -> re.Pattern:
+    """A run of spaces and the letters, or the other characters, that follow: no piece goes beyond its end.
+
+    Letters that some piece joins with another character but a space are no letters here. Joins across an end would make
+    a piece with the characters on its two sides, so what is on one side has no effect on the other's ids.
+    """
+    joined = {pair for piece in pieces for pair in zip(piece, piece[1:], strict=False)}
+    letters = {c for pair in joined for c in pair if c.isalpha()}
+    mixed = letters
+    while mixed:
+        mixed = {c for a, b in joined if (a in letters) != (b in letters) and a != SPACE for c in (a, b)} & letters
+        letters = letters - mixed
+    if not letters:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
+    some = "".join(map(re.escape, sorted(letters)))
+    return re.compile(f"{SPACE}*(?:[{some}]+|[^{SPACE}{some}]+)|{SPACE}+$")
 
 
 class Codec:
@@ -50,14 +67,17 @@ class Codec:
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.verdicts: dict[int, bool] = {}
         self.size = model.vocab_size()
-        #: Trie of the pieces from their last character back, an id under "". Pieces that joins never make are left out.
-        self.ends: dict = {}
+        self.segments = segments(self.ids)
+        #: Trie of the pieces from their last character back: the characters before, and the id of the piece that begins
+        #: here or None. Pieces that joins never make are left out.
+        self.ends: dict[str, list] = {}
         for piece, i in self.ids.items():
             if len(piece) == 1 or self.split(piece) is not None:
-                node = self.ends
+                node, place = self.ends, None
                 for c in reversed(piece):
-                    node = node.setdefault(c, {})
-                node[""] = i
+                    place = node.setdefault(c, [{}, None])
+                    node = place[0]
+                place[1] = i
         self.known: dict[str, bytes] = {}  # ids of segments; when full, it becomes the older generation
         self.older: dict[str, bytes] = {}
 
@@ -114,10 +134,10 @@ class Codec:
             found, begin, start, node = UNKNOWN, end - 1, end, ends
             while start > done:
                 start -= 1
-                node = node.get(text[start])
-                if node is None:
+                place = node.get(text[start])
+                if place is None:
                     break
-                piece = node.get("")
+                node, piece = place
                 if piece is not None:
                     before = ids[start - base]
                     verdict = before < 0 or verdicts.get(before * size + piece)
@@ -160,12 +180,13 @@ class Codec:
         if len(self.known) >= REMEMBERED:
             self.known, self.older = {}, self.known
         known, out = self.known, []
-        for segment in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
+        for segment in self.segments.findall(SPACE + text.replace(" ", SPACE)):
             ids = known.get(segment)
             if ids is None:
                 ids = self.older.get(segment)
                 if ids is None:
-                    ids = np.array([i for ids in self.search(segment) for i in ids], "<i4").tobytes()
+                    found = [i for ids in self.search(segment) for i in ids]
+                    ids = struct.pack(f"<{len(found)}i", *found)
                 if len(segment) <= LONG:
                     known[segment] = ids
             out.append(ids)
