@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Text bytes that a numpy step takes at a time; one longer text is taken whole.
 CHUNK_BYTES = 1_000_000
-#: Rows that go to Python at a time.
-BATCH_ROWS = 2_000
+#: Rows that go to Python at a time, and about the bytes of them.
+BATCH_ROWS, BATCH_BYTES = 2_000, 1 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -100,11 +100,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mapped(frame: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """frame.mapInArrow, with batches of so few rows that long texts fit in them many times over."""
+    """frame.mapInArrow, with batches of bounded rows and bytes; a longer text is a batch of its own.
+
+    Batches are held outside the heap of the executor, which keeps the memory of the largest ones.
+    """
     conf = frame.sparkSession.conf
-    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(most)) <= BATCH_ROWS:
-        conf.set(most, BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        given = conf.get(name).lower().removesuffix("b")
+        if not (given.isdigit() and 0 < int(given) <= most):
+            conf.set(name, most)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

@@ -23,6 +23,8 @@ from keydrift.llm.common import kept_by_worker, mapped, slices
 
 #: Tokens of a sequence; the id that ends a document; tokens that a task holds before it packs them.
 LENGTH, END, WINDOW = 4096, 2, 1 << 20
+#: Pieces that a task hands on at a time.
+GIVEN = 256
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
 #: Words of at most LONG characters whose ids a worker remembers (some 200 bytes each), and bytes of text whose new
@@ -158,9 +160,9 @@ def packed(docs: DataFrame, path: str, length: int = LENGTH, window: int = WINDO
                 filled[s] += n
             number += len(room)
             held = [(held[i][0], held[i][1], held[i][2] + begin, held[i][3][4 * begin : 4 * (begin + n)]) for i, begin, n in over]
-            if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            for i in range(0, len(rows), GIVEN):
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + GIVEN], strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
         def take(rows: list[tuple[int | None, str]]) -> None:

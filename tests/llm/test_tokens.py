@@ -1,16 +1,20 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import edge_rows, rows_of
+from pyspark.sql import functions as F
 
 from keydrift.llm import chat_tree
+from keydrift.llm.common import BATCH_BYTES, mapped
 from keydrift.llm.packing import LENGTH, WordTokens, assign, cost, packed, powers
 from keydrift.llm.queries import tokenizer
-from keydrift.llm.sentencepiece_codec import Codec, decoded, encoded
+from keydrift.llm.sentencepiece_codec import Codec, decoded, encoded, segments
 
 PIECES, WORDS, BYTES = (tokenizer(n) for n in ("piece_bpe_32k.model", "word_bpe_49k.json", "byte_bpe_50k.json"))
 ODD = ["a", "the", "in", "er", " ", "  ", "   ", "\n", "\t", "é", "ß", "日本", "😀", "▁", "0", "'s", '"', "İ", "Σ", "\xa0", "\x1c", "̈", "ﬁ", "!!", "<|endoftext|>"]
@@ -217,3 +221,30 @@ def test_a_lot_that_is_split_otherwise_is_not_remembered():
     want = tokens._whole("some text")
     tokens._ids = lambda words: None
     assert tokens(["some text"]) == [want] and not tokens.known
+
+
+def test_segments_end_where_no_piece_goes_on():
+    import sentencepiece
+
+    codec, library = Codec(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert codec.segments.findall("▁boas***\nThe▁▁12²x▁") == ["▁boas", "***\n", "The", "▁▁12²", "x", "▁"]
+    draw = random.Random(3)
+    for _ in range(300):
+        text = "".join(draw.choice(["word", "Ab", "é", "***", ").", "\n", "²", ".", " ", "  ", "7", "日本", "µ", "ª"]) for _ in range(30))
+        assert np.frombuffer(codec.encode(text), "<i4").tolist() == library.encode(text), text
+    assert not any(re.search(r"[a-z][*.\n]", s) for s in codec.known)
+
+
+def test_letters_that_pieces_join_with_others_end_no_segment():
+    assert segments(["ab", "b!", "▁a"]).findall("▁ab!c?▁d") == ["▁ab!c?", "▁d"]
+    assert segments(["ab", "c!", "▁a"]).findall("▁ab!c?▁d▁") == ["▁ab", "!c?", "▁d", "▁"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 1000).alias("text"))
+    lots = mapped(rows, run, "n long, bytes long").collect()
+    assert sum(r.n for r in lots) == 3000 and max(r.bytes for r in lots) < 2 * BATCH_BYTES
