@@ -10,7 +10,9 @@ window, and at its end to sequences whose lengths are powers of two, so that not
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +29,49 @@ LENGTH, END, WINDOW = 4096, 2, 1 << 20
 GIVEN = 256
 #: Cost of a piece of n tokens: n + QUADRATIC * n * n.
 QUADRATIC = 1 / 1024
-#: Words of at most LONG characters whose ids a worker remembers (some 200 bytes each), and bytes of text whose new
-#: words are encoded together.
-REMEMBERED, LONG, TOGETHER = 60_000, 64, 200_000
+#: Words of at most LONG characters whose ids a worker remembers (some 200 bytes each), and bytes of text whose words
+#: are looked up together.
+REMEMBERED, LONG, TOGETHER = 80_000, 64, 200_000
 
 _LETTERS, _DIGITS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
-#: The tokenizer's own split, for texts of letters whose lower case is one of these letters again.
-PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
+#: Texts of other characters are left to the tokenizer; the lower case of these is one of the letters again.
 OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7f\\xa0-\\u012f\\u0131-\\u017f]")
+SPACE, LETTER, DIGIT, SIGN = range(4)
+#: The kind of every character in lower case, by code point.
+KINDS = np.array(
+    [
+        next(kind for kind, of in enumerate(["\\s", f"[{_LETTERS}]", f"[{_DIGITS}]", "."]) if re.match(of, chr(c), re.S))
+        for c in range(0x180)
+    ],
+    np.uint8,
+)
+
+
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The tokenizer's own split, 's|'t|'re|'ve|'m|'ll|'d|letters|digit|signs, of texts in lower case and UTF-8: all
+    words, and how many of them there are up to the end of each text."""
+    joined = b"\n".join([*texts, b"\n\n"])  # three bytes follow the last character
+    data = np.frombuffer(joined, np.uint8)
+    kind = KINDS[data]
+    lead = np.flatnonzero(data >= 0xC0)  # two bytes a character
+    kind[lead] = kind[lead + 1] = KINDS[(data[lead] & np.uint16(0x1F)) << 6 | data[lead + 1] & 0x3F]
+    begins = kind == DIGIT
+    begins[0] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[lead + 1] = False
+    quote = np.flatnonzero(data == ord("'"))
+    quote = quote[begins[quote] & (kind[quote + 1] == LETTER)]
+    first, second = data[quote + 1], data[quote + 2]
+    short = np.isin(first, list(b"stmd"))
+    long = (np.isin(first, list(b"rv")) & (second == ord("e"))) | ((first == ord("l")) & (second == ord("l")))
+    begins[quote[short | long] + 1] = False
+    begins[quote[short] + 2] = True
+    begins[quote[long] + 3] = True
+    inside = kind != SPACE
+    places = np.append(np.flatnonzero(begins[inside]), np.count_nonzero(inside))
+    words = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data[inside]))
+    ends = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
+    return words, np.searchsorted(np.flatnonzero(begins & inside), ends)
 
 
 class WordTokens:
@@ -42,44 +79,54 @@ class WordTokens:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: by_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x180) if KINDS[c] != SPACE}
         self.known: dict[str, bytes] = {}
+        # Where a word ends depends on the kinds of two characters, and on two characters behind a quote.
+        probe = [f"a{c}a{c}1{c}!{c}{c} {c}" for c in map(chr, range(0x180)) if not OTHER.search(c)]
+        probe += [f"{a}'{b}{c}{d}" for a in ["", "a", "1", "!"] for b in "strevmldé'1 " for c in "evlaé'1 " for d in "sé'"]
+        self.same = self._plain(probe) == [self._whole(t) for t in probe]  # else texts are left to the tokenizer
+        self.known.clear()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _ids(self, words: list[str]) -> dict[str, bytes] | None:
-        """Ids of each of the words, which the tokenizer sees as one text of words apart; None if it splits one of them."""
-        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        places = np.array(encoded.word_ids, np.int64)
-        if len(places) == 0 or places[-1] + 1 != len(words):
+        """Ids of each of the words by the tokenizer's model; None if one of them has spaces."""
+        pieces = " ".join(words).translate(self.letters).split(" ")
+        if len(pieces) != len(words):
             return None
-        ids = np.array(encoded.ids, "<u4").tobytes()
-        ends = 4 * np.searchsorted(places, np.arange(len(words)), side="right")
-        begin, out = 0, {}
-        for word, end in zip(words, ends.tolist(), strict=True):
-            out[word] = ids[begin:end]
-            begin = end
-        return out
+        model = self.tokenizer.model
+        ids = ([t.id for t in model.tokenize(piece)] for piece in pieces)
+        return {w: struct.pack(f"<{len(x)}I", *x) for w, x in zip(words, ids, strict=True)}
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        words, ends = split([t.lower().encode() for t in texts])
+        lot = words.dictionary_encode()
+        distinct = lot.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, distinct))
+        new = [w for w, ids in zip(distinct, found, strict=True) if ids is None]
+        extra = self._ids(new) if new else {}
+        if extra is None:
+            return [self._whole(t) for t in texts]
+        if len(self.known) < REMEMBERED:
+            self.known.update((w, ids) for w, ids in extra.items() if len(w) <= LONG)
+        found = [extra[w] if ids is None else ids for w, ids in zip(distinct, found, strict=True)]
+        # The ids of the distinct words, one word after the other, are copied to where each word stands.
+        index, sizes = lot.indices.to_numpy(), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, n = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        after = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.arange(after[-1]) + np.repeat(begin - after[:-1], n)]
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(after[np.append(0, ends)].tolist())]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if OTHER.search(t) else PLAIN.findall(t.lower()) for t in texts]
-        known = self.known
-        found = [list(map(known.get, words)) if words is not None else [] for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        extra = self._ids(sorted(new)) if new else {}
-        if extra and len(known) < REMEMBERED:
-            known.update((w, ids) for w, ids in extra.items() if len(w) <= LONG)
-        out = []
-        for text, words, ids in zip(texts, split, found, strict=True):
-            if words is None or (None in ids and extra is None):
-                ids = [self._whole(text)]
-            elif None in ids:
-                ids = [extra[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            out.append(b"".join(ids))
-        return out
+        odd = [not self.same or bool(OTHER.search(t)) for t in texts]
+        plain = iter(self._plain([t for t, other in zip(texts, odd, strict=True) if not other]))
+        return [self._whole(t) if other else next(plain) for t, other in zip(texts, odd, strict=True)]
 
 
 def cost(tokens: int) -> float:

@@ -248,3 +248,27 @@ def test_batches_are_bounded_by_bytes(spark):
     rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 1000).alias("text"))
     lots = mapped(rows, run, "n long, bytes long").collect()
     assert sum(r.n for r in lots) == 3000 and max(r.bytes for r in lots) < 2 * BATCH_BYTES
+
+
+def test_new_words_go_to_the_model_alone():
+    from types import SimpleNamespace
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    draw = random.Random(5)
+    parts = ["'", "'s", "'t", "'re", "'ve", "'ll", "'d", "'m", "R", "e", "l", "É", "ß", "Ÿ", "7", "²", "!", "¿", "\xa0", "\n", "\x00", " ", "sofar", "Unheard"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randrange(60))) for _ in range(600)] + ["", "'", "'r", "a'l", " "]
+    tokens = WordTokens(WORDS)
+    tokens.tokenizer = SimpleNamespace(model=tokens.tokenizer.model)
+    for lot in (texts[:300], texts[300:], texts):
+        assert [np.frombuffer(b, "<u4").tolist() for b in tokens(lot)] == [e.ids for e in library.encode_batch(lot, add_special_tokens=False)]
+
+
+def test_a_tokenizer_that_splits_otherwise_is_asked_itself():
+    from tokenizers import Tokenizer
+
+    tokens, library = WordTokens(BYTES), Tokenizer.from_file(BYTES)
+    texts = ["Two words", "it's  here\n", ""]
+    assert not tokens.same
+    assert [np.frombuffer(b, "<u4").tolist() for b in tokens(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
