@@ -35,10 +35,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a table written to the shared folder: lineage ends, and a lost executor loses nothing."""
+def saved(frame: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """The frame as a table written to the shared folder: lineage ends, and a lost executor loses nothing. Large rows
+    come in files of so many at most, since files are written and read thousands of rows at a time."""
     path = shared_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    (frame.write.option("maxRecordsPerFile", most) if most else frame.write).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

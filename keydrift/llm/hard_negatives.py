@@ -22,8 +22,8 @@ from keydrift.llm.common import mapped, saved
 
 #: Vectors of a chunk of candidates and of a block of anchors; blocks whose best rows a task keeps at a time.
 CHUNK, BLOCK, HELD = 2048, 128, 64
-#: Chunks of a group; every block of anchors is read once by each group.
-GROUP = 4
+#: Chunks of a group, every block of anchors being read once by each group; and packs of a file.
+GROUP, FILE = 4, 8
 #: Positives of an anchor, negatives of each positive, and the share of the positive score they start at (percent).
 POSITIVES, NEGATIVES, LEAST = 5, 5, 80
 #: Scores up to here are exact in doubles; larger ones are reckoned in whole numbers.
@@ -196,7 +196,8 @@ def _met(chunks: DataFrame, blocks: DataFrame, step: Callable, most: int) -> Dat
             yield leave(number, best)
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (None, None, None, None, None, None, scored)], schema=FOUND)
 
-    return left.join(right, "group").drop("group").transform(mapped, run, FOUND_SCHEMA)
+    # The files of the blocks tell nothing of their repeats, so neither side is broadcast whatever its estimated size.
+    return left.join(right.hint("merge"), "group").drop("group").transform(mapped, run, FOUND_SCHEMA)
 
 
 def _positives(block: Pack, edges: list, chunk: Pack, best: Best, _: dict) -> int:
@@ -267,17 +268,17 @@ def hard_negatives(rows: DataFrame, is_anchor: Column) -> tuple[DataFrame, DataF
     Hot labels and equal vectors need no care: chunks and blocks are cut by number of rows alone.
     """
     rows = usable(rows)
-    chunks = saved(packs(rows, CHUNK), "chunks")
+    chunks = saved(packs(rows, CHUNK), "chunks", FILE)
     anchors = saved(_anchors(rows.where(is_anchor)), "anchors")
     anchors = anchors.repartitionByRange(max(1, -(-anchors.count() // BLOCK)), "label", "vec_id").sortWithinPartitions("label", "vec_id")
-    blocks = saved(packs(anchors, BLOCK), "anchor-blocks")
+    blocks = saved(packs(anchors, BLOCK), "anchor-blocks", FILE)
 
     first = saved(_met(chunks, blocks, _positives, POSITIVES), "positives")
     positives = _ranked(first.drop("positive_id", "positive_score"), ["block", "anchor_id"], POSITIVES)
     window = F.struct("anchor_id", F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
     # At most POSITIVES windows for each of BLOCK anchors; a score below 0 has none.
     windows = positives.where("score >= 0").groupBy("block").agg(F.collect_list(window).alias("windows"))
-    second = saved(_met(chunks, blocks.join(windows, blocks["number"] == windows["block"]).drop("block"), _negatives, NEGATIVES), "negatives")
+    second = saved(_met(chunks, blocks.join(windows.hint("merge"), blocks["number"] == windows["block"]).drop("block"), _negatives, NEGATIVES), "negatives")
     result = _ranked(second, ["anchor_id", "positive_id"], NEGATIVES).select(
         "anchor_id", "positive_id", "rank", F.col("other_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"),
     )

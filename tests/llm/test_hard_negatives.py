@@ -77,6 +77,28 @@ def test_odd_rows(spark, tmp_path):
     assert found(spark, [(100, [1.0], 1)], tmp_path, "one") == []
 
 
+def test_no_table_goes_through_the_driver(spark, tmp_path, monkeypatch, monkeypatch_conf):
+    """Blocks are repeated for every group: neither they nor their windows are broadcast, and files hold few packs."""
+    monkeypatch_conf("spark.sql.autoBroadcastJoinThreshold", "10m")
+    for name, size in (("CHUNK", 20), ("BLOCK", 4), ("FILE", 3)):
+        monkeypatch.setattr(hard, name, size)
+    plans, tables, saved = {}, {}, hard.saved
+
+    def noted(frame, name, *more):
+        frame.collect()  # afterwards the plan is the one that was run
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+        tables[name] = saved(frame, name, *more)
+        return tables[name]
+
+    monkeypatch.setattr(hard, "saved", noted)
+    rows = vectors(6, 1500)
+    assert found(spark, rows, tmp_path, "rows") == brute(rows)
+    for name in ("positives", "negatives"):
+        assert "isFinalPlan=true" in plans[name] and "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+    a_file = [r["count"] for r in tables["chunks"].groupBy(F.input_file_name()).count().collect()]
+    assert max(a_file) <= 3 and sum(a_file) == tables["chunks"].count() > 70
+
+
 def test_large_numbers_are_exact():
     draw = random.Random(1)
     rows = np.array([[float(draw.randrange(-(1 << 40), 1 << 40)) for _ in range(4)] for _ in range(50)])
